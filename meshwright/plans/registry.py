@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwright.plans import problems
+from meshwright.plans import graphs, problems
 
-_MODULES = [problems]
+_MODULES = [graphs, problems]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
