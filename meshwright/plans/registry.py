@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwright.plans import graphs, problems
+from meshwright.plans import graphs, problems, reports
 
-_MODULES = [graphs, problems]
+_MODULES = [graphs, reports, problems]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
