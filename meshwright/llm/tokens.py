@@ -25,6 +25,25 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BLOCK_CHARS = 1_000_000
 
 
+# The tokenizer's rule for pre-tokens, and ranges of characters whose
+# classes (letter, number, space) are the same in the tokenizer's tables and in
+# those of ``regex``. Texts with any other character are cut by the tokenizer itself.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SETTLED = (
+    r"\x00-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u0481\u048a-\u04ff\u2010-\u2027\u202f-\u205e"
+    r"\u20a0-\u20ba\u2190-\u21ff\u2200-\u22ff\u2600-\u26ff\u3000-\u3029\u3041-\u3096\u30a1-\u30fa"
+    r"\u4e00-\u9fa5\uac00-\ud7a3\ufe0f\uff01-\uff5e\u200d\u200b\u2714\U0001f1e6-\U0001f1ff\U0001f300-\U0001f64f\U0001f680-\U0001f6ff\U0001f900-\U0001f9ff"
+)
+
+
+class _Places(dict):
+    """Word to place in the dictionary, in order of first use."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class _Words:
     """The tokenizer, loaded once per Python worker from its JSON text."""
 
@@ -54,10 +73,17 @@ def _cut(tokenizer: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        cut = _Words.load(tokenizer).pre_tokenizer.pre_tokenize_str
+        import regex
+
+        exact = _Words.load(tokenizer).pre_tokenizer.pre_tokenize_str
+        settled, split = regex.compile(f"[{SETTLED}]*"), regex.compile(PATTERN).findall
+
+        def cut(text: str) -> list[str]:
+            return split(text) if settled.fullmatch(text) else [text[a:b] for _, (a, b) in exact(text)]
+
         context = TaskContext.get()
         block = (context.partitionId() if context else 0) << 36
-        docs, words, size = [], {}, 0
+        docs, words, size = [], _Places(), 0
 
         def flush() -> pd.DataFrame:
             out = pd.DataFrame(
@@ -77,8 +103,8 @@ def _cut(tokenizer: str):
                 if isinstance(text, str) and text:
                     if size and size + len(text) > BLOCK_CHARS:
                         yield flush()
-                        block, docs, words, size = block + 1, [], {}, 0
-                    places = [words.setdefault(text[a:b], len(words)) for _, (a, b) in cut(text)]
+                        block, docs, words, size = block + 1, [], _Places(), 0
+                    places = list(map(words.__getitem__, cut(text)))
                     size += len(text)
                 docs.append((None if pd.isna(doc_id) else int(doc_id), np.asarray(places, dtype=np.int32)))
         if docs:
