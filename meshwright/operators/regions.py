@@ -105,7 +105,7 @@ def diffusions(g: Graph, queries: DataFrame, hops: int = 2) -> DataFrame:
     rows = region_rows(g, regions(g, queries.select("query_id", F.col("seed").alias("u")), hops))
 
     def kernel(region: Rows, degree: dict[int, int], pdf: pd.DataFrame) -> list[tuple]:
-        x, _ = diffuse.diffuse(region, degree, int(pdf["seed"].iloc[0]), float(pdf["mass"].iloc[0]))
+        x, _ = diffuse.solve(region, degree, int(pdf["seed"].iloc[0]), float(pdf["mass"].iloc[0]))
         return sorted(x.items())
 
     return per_region(rows, "query_id", "u long, x double", kernel, queries.select("query_id", "seed", "mass"), 200_000)
