@@ -74,7 +74,8 @@ def _fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for path, value in leaves(record):
                 h = xxhash.xxh64_intdigest(canonical(value)) - (1 << 63)
                 out.append((file_id, rec, path, kind_of(value), h))
-        yield pd.DataFrame(out, columns=["file_id", "rec", "path", "kind", "value"])
+        if out:
+            yield pd.DataFrame(out, columns=["file_id", "rec", "path", "kind", "value"])
 
 
 def field_values(lines: DataFrame) -> DataFrame:
@@ -198,7 +199,8 @@ def _unify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             to = {} if names is None else {n["path"]: n["name"] for n in names}
             got = {to.get(p, p): v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for p, v in leaves(record)}
             out.append((file_id, line_no, got.get("record_id"), got.get("job_id"), got))
-        yield pd.DataFrame(out, columns=["file_id", "line_no", "record_id", "job_id", "fields"])
+        if out:
+            yield pd.DataFrame(out, columns=["file_id", "line_no", "record_id", "job_id", "fields"])
 
 
 def unified(files: DataFrame, lines: DataFrame, found: DataFrame) -> DataFrame:

@@ -68,7 +68,8 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             (uri, g, c.path_in_schema, c.physical_type, group.num_rows, nulls, _text(low), _text(high), _number(low), _number(high), exact,
                              c.has_dictionary_page and "PLAIN_DICTIONARY" not in encodings and bool(encodings & {"RLE_DICTIONARY"}))
                         )
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in _CHUNK.split(", ")])
+        if out:
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in _CHUNK.split(", ")])
 
 
 def file_list(spark: SparkSession, path: str) -> DataFrame:
@@ -95,7 +96,8 @@ def _dictionaries(column: str):
                     for g in range(f.metadata.num_row_groups):
                         for part in f.read_row_group(g, columns=[column]).column(0).chunks:
                             out.update(v for v in part.dictionary.to_pylist() if v is not None)
-            yield pd.DataFrame({"value": sorted(out)})
+            if out:
+                yield pd.DataFrame({"value": sorted(out)})
 
     return run
 

@@ -99,7 +99,8 @@ def _open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 items.append([dict(entity=e, position=p, parent=q, payload=json.dumps(f, ensure_ascii=False)) for e, p, q, f in visit(record)])
         out = pdf.iloc[keep][["record_id", "delivered_at"]].copy()
         out["items"] = items
-        yield out
+        if keep:
+            yield out
 
 
 def flatten(records: DataFrame) -> DataFrame:
@@ -111,9 +112,11 @@ def flatten(records: DataFrame) -> DataFrame:
     deliveries at the same time the one with the greatest rows is taken. Each
     payload is parsed once; deliveries of one record combine on the map side.
     """
-    opened = records.select("record_id", "delivered_at", "payload").mapInPandas(_open, f"record_id long, delivered_at timestamp, items {_ITEM}")
+    # ids travel as text: a null among them would turn a batch's ids into floats
+    rows = records.select(F.col("record_id").cast("string").alias("record_id"), "delivered_at", "payload")
+    opened = rows.mapInPandas(_open, f"record_id string, delivered_at timestamp, items {_ITEM}")
     last = opened.groupBy("record_id").agg(F.max(F.struct("delivered_at", "items")).alias("last"))
-    return last.select("record_id", F.inline("last.items"))
+    return last.select(F.col("record_id").cast("bigint").alias("record_id"), F.inline("last.items"))
 
 
 #: Typed columns of each entity: name -> (key in the payload, type).

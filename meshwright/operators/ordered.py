@@ -175,11 +175,30 @@ def violated_triangles(pairs: DataFrame, limit: int) -> DataFrame:
     """(i, j, k, violation): the ``limit`` worst breaches of x_ij <= x_ik + x_jk among stored pairs (i, j, x), i < j.
 
     Ordered by falling violation, then i, j, k: the one bound kept here is the
-    report's own length. Only triangles whose three pairs are stored are looked at.
+    report's own length. x must not be negative. Only triangles whose three pairs are
+    stored are looked at.
+    A pair's breach is at most x_ij less the least values at both ends. The triangles
+    of the pairs with the greatest bounds give a floor for the report; then only
+    pairs and legs that can reach the floor are joined, so the result is exact
+    without listing all triangles.
     """
-    both = pairs.select("i", "j", "x").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "x"))
-    a = both.select(F.col("i"), F.col("j").alias("k"), F.col("x").alias("xa"))
-    b = both.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("x").alias("xb"))
-    t = pairs.select("i", "j", "x").join(a, "i").join(b, ["j", "k"])
-    t = t.select("i", "j", "k", (F.col("x") - F.col("xa") - F.col("xb")).alias("violation")).where("violation > 0")
-    return t.orderBy(F.desc("violation"), "i", "j", "k").limit(limit)
+    both = materialize(pairs.select("i", "j", "x").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "x")), "legs")
+    least = both.groupBy("i").agg(F.min("x").alias("m"))
+    p = pairs.select("i", "j", "x").join(least, "i").join(least.select(F.col("i").alias("j"), F.col("m").alias("n")), "j")
+    p = materialize(p.select("i", "j", "x", (F.col("x") - F.col("m") - F.col("n")).alias("most")).where("most > 0"), "bounded")
+
+    def triangles(some: DataFrame, legs: DataFrame) -> DataFrame:
+        a = legs.select("i", F.col("j").alias("k"), F.col("x").alias("xa"))
+        b = legs.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("x").alias("xb"))
+        t = some.join(a, "i").where("xa < x").join(b, ["j", "k"])
+        return t.select("i", "j", "k", (F.col("x") - F.col("xa") - F.col("xb")).alias("violation")).where("violation > 0")
+
+    order = [F.desc("violation"), F.col("i"), F.col("j"), F.col("k")]
+    first = triangles(p.orderBy(F.desc("most"), "i", "j").limit(limit), both).orderBy(*order).limit(limit)
+    floor = first.agg(F.count("*").alias("n"), F.min("violation").alias("v")).first()
+    low = floor["v"] if floor["n"] == limit else 0
+    top = p.agg(F.max("x").alias("x")).first()["x"]
+    if top is None:
+        return first
+    t = triangles(p.where(F.col("most") >= low), both.where(F.col("x") <= top - low))
+    return t.where(F.col("violation") >= low).orderBy(*order).limit(limit)

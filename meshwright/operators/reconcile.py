@@ -144,7 +144,8 @@ def _roots(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.D
             at = np.flatnonzero(lengths == d)
             c = np.array(pdf["poly"].iloc[at].tolist(), dtype=np.int64).astype(np.uint64)
             hit[at] = gf.poly_eval(c, x[at]) == 0
-        yield pdf.loc[hit, columns]
+        if hit.any():
+            yield pdf.loc[hit, columns]
 
 
 def differing_rows(
