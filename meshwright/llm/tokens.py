@@ -66,7 +66,7 @@ def tokenizer_text(path: str = TOKENIZER) -> str:
         return f.read()
 
 
-_PIECE = "block long, doc_id long, places array<int>, place int, word string"
+_PIECE = "block long, doc_id string, places array<int>, place int, word string"
 
 
 def _cut(tokenizer: str):
@@ -89,7 +89,7 @@ def _cut(tokenizer: str):
             out = pd.DataFrame(
                 {
                     "block": block,
-                    "doc_id": pd.array([d for d, _ in docs] + [None] * len(words), dtype="Int64"),
+                    "doc_id": [d for d, _ in docs] + [None] * len(words),
                     "places": [p for _, p in docs] + [None] * len(words),
                     "place": pd.array([None] * len(docs) + list(words.values()), dtype="Int32"),
                     "word": [None] * len(docs) + list(words),
@@ -106,7 +106,7 @@ def _cut(tokenizer: str):
                         block, docs, words, size = block + 1, [], _Places(), 0
                     places = list(map(words.__getitem__, cut(text)))
                     size += len(text)
-                docs.append((None if pd.isna(doc_id) else int(doc_id), np.asarray(places, dtype=np.int32)))
+                docs.append((doc_id, np.asarray(places, dtype=np.int32)))
         if docs:
             yield flush()
 
@@ -150,7 +150,9 @@ def _sum_ids(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
 
 def _pieces(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:
     """(block, doc_id, places) of each text, and (owner, place, ids) of each block's words."""
-    cut = materialize(docs.select("doc_id", "text").mapInPandas(_cut(tokenizer), _PIECE), "pieces")
+    # ids travel as text: a null among them would turn a batch's ids into floats
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    cut = materialize(docs.mapInPandas(_cut(tokenizer), _PIECE), "pieces")
     texts = cut.where(F.col("place").isNull()).select("block", "doc_id", "places")
     words = cut.where(F.col("place").isNotNull()).select("block", "place", "word")
     coded = words.select("word").distinct().mapInPandas(_encode(tokenizer), "word string, ids array<int>")
@@ -164,14 +166,14 @@ def encode(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     row, repeated texts and ids too; other columns aren't read.
     """
     texts, words = _pieces(docs, tokenizer_text(path))
-    return texts.groupBy("block").cogroup(words.groupBy("owner")).applyInPandas(_join_ids, "doc_id long, ids array<int>")
+    return texts.groupBy("block").cogroup(words.groupBy("owner")).applyInPandas(_join_ids, "doc_id string, ids array<int>").withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, tokens): how many ids ``encode`` gives; only counts are shuffled back."""
     texts, words = _pieces(docs, tokenizer_text(path))
     words = words.select("owner", "place", F.size("ids").alias("n"))
-    return texts.groupBy("block").cogroup(words.groupBy("owner")).applyInPandas(_sum_ids, "doc_id long, tokens long")
+    return texts.groupBy("block").cogroup(words.groupBy("owner")).applyInPandas(_sum_ids, "doc_id string, tokens long").withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def byte_table(spark: SparkSession, path: str = TOKENIZER) -> DataFrame:
