@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwright.plans import graphs, kernels, problems, reports
+from meshwright.plans import graphs, kernels, more, problems, reports
 
-_MODULES = [graphs, kernels, reports, problems]
+_MODULES = [graphs, kernels, more, reports, problems]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

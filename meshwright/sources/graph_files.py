@@ -79,7 +79,7 @@ def read_benchmark_text(spark: SparkSession, network: str, community: str) -> tu
         return df.select(F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "").alias("t")).where(F.size("t") >= 2)
 
     rows = ints(spark.read.text(network)).select((F.get("t", F.lit(0)).cast("bigint") - 1).alias("u"), (F.get("t", F.lit(1)).cast("bigint") - 1).alias("v")).distinct()
-    member = ints(spark.read.text(community)).select((F.get("t", F.lit(0)).cast("bigint") - 1).alias("node"), F.slice("t", 2, 10**6).alias("c")).select((F.explode("c").cast("bigint") - 1).alias("cid"), "node").distinct()
+    member = ints(spark.read.text(community)).select((F.get("t", F.lit(0)).cast("bigint") - 1).alias("node"), F.transform(F.slice("t", 2, 10**6), lambda x: x.cast("bigint") - 1).alias("c")).select(F.explode("c").alias("cid"), "node").distinct()
     one_way = rows.join(rows.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti").agg(F.count("*").alias("n"))
     unlisted = rows.select(F.col("u").alias("node")).distinct().join(member, "node", "left_anti").agg(F.count("*").alias("n"))
     faults = one_way.select(F.lit("one_way").alias("reason"), "n").unionByName(unlisted.select(F.lit("unlisted").alias("reason"), "n")).where("n > 0")
