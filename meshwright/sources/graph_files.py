@@ -78,8 +78,8 @@ def read_benchmark_text(spark: SparkSession, network: str, community: str) -> tu
     def ints(df: DataFrame) -> DataFrame:
         return df.select(F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "").alias("t")).where(F.size("t") >= 2)
 
-    rows = ints(spark.read.text(network)).select((F.get("t", F.lit(0)).cast("bigint") - 1).alias("u"), (F.get("t", F.lit(1)).cast("bigint") - 1).alias("v")).distinct()
-    member = ints(spark.read.text(community)).select((F.get("t", F.lit(0)).cast("bigint") - 1).alias("node"), F.transform(F.slice("t", 2, 10**6), lambda x: x.cast("bigint") - 1).alias("c")).select(F.explode("c").alias("cid"), "node").distinct()
+    rows = ints(spark.read.text(network)).select((F.get("t", F.lit(0)).try_cast("bigint") - 1).alias("u"), (F.get("t", F.lit(1)).try_cast("bigint") - 1).alias("v")).distinct()
+    member = ints(spark.read.text(community)).select((F.get("t", F.lit(0)).try_cast("bigint") - 1).alias("node"), F.transform(F.slice("t", 2, 10**6), lambda x: x.try_cast("bigint") - 1).alias("c")).select(F.explode("c").alias("cid"), "node").distinct()
     one_way = rows.join(rows.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti").agg(F.count("*").alias("n"))
     unlisted = rows.select(F.col("u").alias("node")).distinct().join(member, "node", "left_anti").agg(F.count("*").alias("n"))
     faults = one_way.select(F.lit("one_way").alias("reason"), "n").unionByName(unlisted.select(F.lit("unlisted").alias("reason"), "n")).where("n > 0")
@@ -91,12 +91,13 @@ def read_hyperedges(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     """inc(e, u, r) of a file with one 1-based comma list a line, and (reason, n) of lines left out.
 
     Hyperedges are told apart by their line's text and number within equal ones.
-    Lines with fewer than two members (rank) or with a repeated one (repeated) are left out.
+    Lines with fewer than two members (rank), with a repeated one (repeated) or with
+    something else than a whole number (unreadable) are left out.
     """
     lines = spark.read.text(path).where(F.trim("value") != "")
-    ids = F.transform(F.split("value", ","), lambda x: F.trim(x).cast("bigint") - 1)
+    ids = F.transform(F.split("value", ","), lambda x: F.trim(x).try_cast("bigint") - 1)
     h = lines.select(F.monotonically_increasing_id().alias("e"), ids.alias("m"))
-    bad = F.when(F.size("m") < 2, "rank").when(F.size(F.array_distinct("m")) < F.size("m"), "repeated")
+    bad = F.when(F.exists("m", lambda x: x.isNull()), "unreadable").when(F.size("m") < 2, "rank").when(F.size(F.array_distinct("m")) < F.size("m"), "repeated")
     h = h.withColumn("bad", bad)
     inc = h.where("bad IS NULL").select("e", F.explode("m").alias("u"), F.size("m").cast("bigint").alias("r"))
     return inc, h.where("bad IS NOT NULL").groupBy(F.col("bad").alias("reason")).agg(F.count("*").alias("n"))
