@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.operators.graph import Graph
+from meshwright.operators.ordered import percentiles
+from meshwright.session import materialize
 
 
 def _inner_weight(g: Graph, sets: DataFrame, key: str) -> DataFrame:
@@ -51,13 +53,14 @@ def partition_stats(g: Graph, labels: DataFrame) -> DataFrame:
     """
     s = set_stats(g, labels.withColumnRenamed("l", "set_id"))
     c = s.join(conductance(g, s).select("set_id", "den"), "set_id")
-    phi = F.col("cut") / F.col("den")
-    return c.agg(
+    c = materialize(c.select("vol", "cut", "den", (F.col("cut") / F.col("den")).alias("phi")), "phi")
+    whole = c.agg(
         F.count("*").alias("groups"),
-        (F.sum(phi * F.col("vol")) / F.sum(F.when(F.col("den").isNotNull(), F.col("vol")))).alias("phi_mean"),
-        *(F.percentile(phi, F.lit(q)).alias(f"phi_q{int(q * 100)}") for q in (0.25, 0.5, 0.75)),
-        (F.sum("cut") / F.lit(g.volume)).alias("outside"),
+        (F.sum(F.col("phi") * F.col("vol")) / F.sum(F.when(F.col("den").isNotNull(), F.col("vol")))).alias("phi_mean"),
+        F.try_divide(F.sum("cut"), F.lit(g.volume)).alias("outside"),
     )
+    q = percentiles(c, [], "phi", [0.25, 0.5, 0.75]).select(F.col("p_0").alias("phi_q25"), F.col("p_1").alias("phi_q50"), F.col("p_2").alias("phi_q75"))
+    return whole.join(q, F.lit(True), "left").select("groups", "phi_mean", "phi_q25", "phi_q50", "phi_q75", "outside")
 
 
 def modularity(g: Graph, labels: DataFrame, gammas: list[tuple[int, int]]) -> DataFrame:

@@ -15,25 +15,57 @@ from meshwright.operators.graph import Graph
 from meshwright.session import materialize
 
 
-def running(df: DataFrame, order: str, sums: list[str], by: list[str], buckets: int = 256) -> DataFrame:
-    """``df`` with running sums ``c_<x>`` of the columns ``sums`` per group ``by`` along the numeric ``order``.
+def running(df: DataFrame, order: str | list[str], sums: list[str], by: list[str], buckets: int = 256) -> DataFrame:
+    """(by, order, c_<x>): running sums of the columns ``sums`` per group ``by`` along ``order``.
 
-    Rows of equal ``order`` share their sums (ties are not split). Buckets of
-    ``order`` are found from its approximate quantiles over all groups; a bucket is
-    summed by itself and starts from the total of the ones before it.
+    Rows of equal ``order`` share their sums (ties are not split). Buckets of its
+    first, numeric column are found from approximate quantiles over all groups; a
+    bucket is summed by itself and starts from the total of the ones before it.
     """
-    per = df.groupBy(*by, order).agg(*(F.sum(x).alias(f"_s_{x}") for x in sums))
+    along = [order] if isinstance(order, str) else order
+    per = df.groupBy(*by, *along).agg(*(F.sum(x).alias(f"_s_{x}") for x in sums))
     per = materialize(per, "steps")
-    cuts = sorted(set(per.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.002))) if buckets > 1 else []
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col(order))) if cuts else F.lit(0)
+    cuts = sorted(set(per.approxQuantile(along[0], [i / buckets for i in range(1, buckets)], 0.002))) if buckets > 1 else []
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col(along[0]))) if cuts else F.lit(0)
     per = per.withColumn("_b", bucket)
     whole = per.groupBy(*by, "_b").agg(*(F.sum(f"_s_{x}").alias(f"_t_{x}") for x in sums))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = whole.select(*by, "_b", *(F.coalesce(F.sum(f"_t_{x}").over(before), F.lit(0)).alias(f"_o_{x}") for x in sums))
-    inside = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    per = per.select(*by, order, "_b", *(F.sum(f"_s_{x}").over(inside).alias(f"_i_{x}") for x in sums))
-    joined = per.join(whole, [*by, "_b"])
-    return joined.select(*by, order, *((F.col(f"_i_{x}") + F.col(f"_o_{x}")).alias(f"c_{x}") for x in sums))
+    inside = Window.partitionBy(*by, "_b").orderBy(*along).rowsBetween(Window.unboundedPreceding, 0)
+    per = per.select(*by, *along, "_b", *(F.sum(f"_s_{x}").over(inside).alias(f"_i_{x}") for x in sums))
+    # keys may be null, so the few bucket totals are joined null-safely
+    a, b = per.alias("a"), whole.alias("b")
+    on = F.col("a._b") == F.col("b._b")
+    for k in by:
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return a.join(b, on).select(*(F.col(f"a.{k}").alias(k) for k in [*by, *along]), *((F.col(f"a._i_{x}") + F.col(f"b._o_{x}")).alias(f"c_{x}") for x in sums))
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(by, n, p_0, p_1, ...): exact percentiles with linear interpolation; null values don't count.
+
+    Built on how often each value occurs and running counts, so no task holds a
+    group's values, however large the group is. Groups without values are left out.
+    """
+    v = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")).withColumn("_one", F.lit(1).cast("bigint"))
+    run = materialize(running(v, "_v", ["_one"], by), "ranks")
+    n = run.groupBy(*by).agg(F.max("c__one").alias("n"))
+    a, b = run.alias("a"), n.alias("b")
+    on = F.lit(True)
+    for k in by:
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    j = a.join(b, on).select(*(F.col(f"a.{k}").alias(k) for k in by), F.col("a._v").alias("_v"), F.col("a.c__one").alias("_c"), "b.n")
+    picks = []
+    for i, p in enumerate(shares):
+        at = (F.col("n") - 1) * F.lit(p)
+        picks += [F.min(F.when(F.col("_c") > F.floor(at), F.col("_v"))).alias(f"_l{i}"), F.min(F.when(F.col("_c") > F.ceil(at), F.col("_v"))).alias(f"_h{i}")]
+    got = j.groupBy(*by, "n").agg(*picks)
+
+    def between(i: int, p: float) -> Column:
+        at = (F.col("n") - 1) * F.lit(p)
+        return (F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (at - F.floor(at))).alias(f"p_{i}")
+
+    return got.select(*by, "n", *(between(i, p) for i, p in enumerate(shares)))
 
 
 def sweep_steps(g: Graph, scores: DataFrame, key: str = "query_id") -> DataFrame:
@@ -68,17 +100,17 @@ def level_sweep(g: Graph, scores: DataFrame, seeds: DataFrame, key: str = "query
 def _least(df: DataFrame, key: str, num: str, den: str) -> DataFrame:
     """The row of the least num / den per key, exactly; of equal ones the smallest set.
 
-    Decimal quotients of 20 places preselect; the rest are compared by cross products.
+    Fractions of denominators up to 10^18 that differ do so within 36 digits; the
+    order of the first and the next 18 digits is therefore that of the fractions,
+    and one minimum, combined on the map side, finds the row.
     """
-    q = F.try_divide(F.col(num).cast("decimal(19,0)"), F.col(den).cast("decimal(19,0)")).cast("decimal(38,18)")
-    low = df.withColumn("_q", q)
-    near = low.join(low.groupBy(key).agg(F.min("_q").alias("_m")), key).where(F.col("_q") <= F.col("_m") + F.lit("0.000000000000000002").cast("decimal(38,18)"))
-    best = F.array_sort(
-        F.collect_list(F.struct(F.col(num).cast("decimal(19,0)").alias("n"), F.col(den).cast("decimal(19,0)").alias("d"), F.col("size").alias("s"))),
-        lambda a, b: F.when(a["n"] * b["d"] < b["n"] * a["d"], -1).when(a["n"] * b["d"] > b["n"] * a["d"], 1).when(a["s"] < b["s"], -1).when(a["s"] > b["s"], 1).otherwise(0),
-    )
-    pick = near.groupBy(key).agg(best[0].alias("_b")).select(key, F.col("_b.s").alias("size"))
-    return near.join(pick, [key, "size"]).drop("_q", "_m", "x", "xs").dropDuplicates([key])
+    big = "decimal(38,0)"
+    df = df.withColumn("_n", (F.col(num).cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)")).cast(big)).withColumn("_d", F.nullif(F.col(den), F.lit(0)).cast(big))
+    df = df.withColumn("_q", F.expr("_n div _d")).withColumn("_r", ((F.col("_n") - (F.col("_q").cast("decimal(19,0)") * F.col(den).cast("decimal(19,0)")).cast(big)).cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)")).cast(big))
+    df = df.where("_d IS NOT NULL").withColumn("_p", F.expr("_r div _d"))
+    rest = [c for c in ("vol", "cut", num, den) if c in df.columns]
+    best = F.min(F.struct("_q", "_p", "size", *dict.fromkeys(rest)))
+    return df.groupBy(key).agg(best.alias("_b")).select(key, "_b.size", *(f"_b.{c}" for c in dict.fromkeys(rest)))
 
 
 def vertex_sweep(g: Graph, scores: DataFrame, key: str = "query_id") -> DataFrame:
@@ -87,9 +119,14 @@ def vertex_sweep(g: Graph, scores: DataFrame, key: str = "query_id") -> DataFram
     The order is falling score, then id, so equal scores are split; prefixes of
     volume 0 or all of it don't count; of equal values the shortest is taken.
     """
-    w = Window.partitionBy(key).orderBy(F.desc("x"), "u")
-    ranked = scores.where(F.col("x") > 0).select(key, "u", "x").withColumn("r", F.row_number().over(w))
-    steps = sweep_steps(g, ranked.select(key, "u", (F.lit(10**9) - F.col("r")).cast("double").alias("x")), key)
+    s = scores.where(F.col("x") > 0).select(key, "u", "x").join(g.degrees, "u").withColumn("y", -F.col("x"))
+    a = s.select(key, "u", F.struct("y", "u").alias("a"))
+    b = s.select(key, F.col("u").alias("v"), F.struct("y", "u").alias("b"))
+    inner = g.edges.join(a, "u").join(b, ["v", key]).groupBy(key, F.greatest("a", "b").alias("o")).agg((-2 * F.sum("w")).alias("cut"))
+    zero = F.lit(0).cast("bigint")
+    rows = s.select(key, "y", F.col("u").alias("t"), F.lit(1).cast("bigint").alias("n"), "d", F.col("d").alias("cut"))
+    rows = rows.unionByName(inner.select(key, "o.y", F.col("o.u").alias("t"), zero.alias("n"), zero.alias("d"), "cut"))
+    steps = running(rows, ["y", "t"], ["n", "d", "cut"], [key]).select(key, F.col("c_n").alias("size"), F.col("c_d").alias("vol"), F.col("c_cut").alias("cut"))
     den = F.least(F.col("vol"), F.lit(g.volume) - F.col("vol"))
     return _least(steps.withColumn("den", den).where("den > 0"), key, "cut", "den")
 

@@ -10,6 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshwright.operators.ordered import percentiles
+from meshwright.session import materialize
+
 PANEL = ["case_id", "information_policy", "device", "threads", "seed"]
 
 
@@ -52,10 +55,14 @@ def paired_runs(runs: DataFrame) -> DataFrame:
 def pair_summary(pairs: DataFrame) -> DataFrame:
     """(reference, comparison, planned, both, better_and_faster, median_ratio, median_delta) over all panels."""
     good = (F.col("delta") >= 0) & (F.col("ratio") < 1)
-    return pairs.groupBy("reference", "comparison").agg(
-        F.count("*").alias("planned"), F.count("ratio").alias("both"), F.count_if(good).alias("better_and_faster"),
-        F.percentile("ratio", F.lit(0.5)).alias("median_ratio"), F.percentile("delta", F.lit(0.5)).alias("median_delta"),
-    )
+    pairs = materialize(pairs, "pairs")
+    counts = pairs.groupBy("reference", "comparison").agg(
+        F.count("*").alias("planned"), F.count("ratio").alias("both"), F.count_if(good).alias("better_and_faster")
+    )
+    key = ["reference", "comparison"]
+    ratio = percentiles(pairs, key, "ratio", [0.5]).select(*key, F.col("p_0").alias("median_ratio"))
+    delta = percentiles(pairs, key, "delta", [0.5]).select(*key, F.col("p_0").alias("median_delta"))
+    return counts.join(ratio, key, "left").join(delta, key, "left")
 
 
 def arm_comparison(runs: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame:
@@ -101,12 +108,20 @@ def panel_summary(runs: DataFrame, measure: str = "pipeline_seconds") -> DataFra
     of completed records count for low, middle (the exact median) and high.
     """
     r = one_per_record(runs).select("method", "device", "threads", F.when(sound(), F.col(measure)).alias("x"), (F.col("status") == "COMPLETED").alias("c"))
+    r = materialize(r, "panel")
     r.createOrReplaceTempView("_meshwright_panel")
-    return r.sparkSession.sql("""
-        SELECT method, device, threads, grouping_id() AS level, count(*) AS n, count_if(c) AS completed,
-               min(x) AS low, percentile(x, 0.5) AS middle, max(x) AS high
+    counts = r.sparkSession.sql("""
+        SELECT method, device, threads, grouping_id() AS level, count(*) AS n, count_if(c) AS completed, min(x) AS low, max(x) AS high
         FROM _meshwright_panel
         GROUP BY method, device, threads GROUPING SETS ((), (method), (method, device), (method, threads))""")
+    kinds = [(7, ()), (3, ("method",)), (1, ("method", "device")), (2, ("method", "threads"))]
+    labels = F.array(*(F.struct(F.lit(k).cast("bigint").alias("level"), *((F.col(c) if c in own else F.lit(None).cast(r.schema[c].dataType)).alias(c) for c in ("method", "device", "threads"))) for k, own in kinds))
+    middle = percentiles(r.where("x IS NOT NULL").select("x", F.inline(labels)), ["level", "method", "device", "threads"], "x", [0.5])
+    a, b = counts.alias("a"), middle.alias("b")
+    on = F.col("a.level") == F.col("b.level")
+    for c in ("method", "device", "threads"):
+        on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return a.join(b, on, "left").select("a.method", "a.device", "a.threads", "a.level", "a.n", "completed", "low", F.col("p_0").alias("middle"), "high")
 
 
 def status_counts(runs: DataFrame) -> DataFrame:
@@ -121,9 +136,10 @@ def gates(pairs: DataFrame, least: int = 12) -> DataFrame:
     least ``least`` pairs of the stratum are planned and all of them complete; it
     passes with a saving above 0 and a mean score loss of at most 0.01.
     """
-    s = pairs.groupBy("reference", "comparison", "seed").agg(
-        F.count("*").alias("n"), F.count("ratio").alias("k"), F.percentile(1 - F.col("ratio"), F.lit(0.5)).alias("ms"), F.avg("delta").alias("md")
-    )
+    key = ["reference", "comparison", "seed"]
+    pairs = materialize(pairs.select(*key, (1 - F.col("ratio")).alias("saving"), "delta"), "pairs")
+    s = pairs.groupBy(*key).agg(F.count("*").alias("n"), F.count("saving").alias("k"), F.avg("delta").alias("md"))
+    s = s.join(percentiles(pairs, key, "saving", [0.5]).select(*key, F.col("p_0").alias("ms")), key, "left")
     whole = (F.col("n") >= least) & (F.col("n") == F.col("k"))
     ms, md = F.when(whole, F.col("ms")), F.when(whole, F.col("md"))
     return s.select("reference", "comparison", "seed", "n", ms.alias("median_saving"), md.alias("mean_delta"), ((ms > 0) & (md >= -0.01)).alias("passed"))
