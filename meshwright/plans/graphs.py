@@ -569,9 +569,20 @@ def acl_rounds(spark, d):
     return r.select("query_id", "u", F.round("rank", 10).alias("rank"), F.round("residual", 10).alias("residual"))
 
 
-@query()
+def _top_sql(epochs: int, seed: int, mass: float) -> str:
+    parts = [SUPP, f"x0 AS (SELECT u, CAST(0 AS DOUBLE) AS x FROM deg WHERE u = {seed})"]
+    for i in range(epochs):
+        parts.append(f"""i{i} AS (SELECT adj.v AS u, sum(w * x) AS ax, sum(w) AS inw FROM adj JOIN x{i} ON x{i}.u = adj.u GROUP BY adj.v),
+n{i} AS (SELECT deg.u, x{i}.x IS NOT NULL AS active, coalesce(inw, 0) / d AS sh,
+  greatest(coalesce(x, 0) - 0.5 * (d * (1 + 0.0001 * coalesce(x, 0)) + d * coalesce(x, 0) - coalesce(ax, 0) - CASE WHEN deg.u = {seed} THEN {mass} ELSE 0 END) / d, 0) AS y
+  FROM deg LEFT JOIN i{i} ON i{i}.u = deg.u LEFT JOIN x{i} ON x{i}.u = deg.u WHERE d > 0 AND (i{i}.u IS NOT NULL OR x{i}.u IS NOT NULL)),
+x{i + 1} AS (SELECT u, y AS x FROM n{i} WHERE active AND (y > 0 OR u = {seed}) UNION ALL SELECT u, y FROM (SELECT u, y FROM n{i} WHERE NOT active AND y > 0 ORDER BY y * sh DESC, u LIMIT 50))""")
+    return ", ".join(parts) + f" SELECT u, round(x, 7) AS x FROM x{epochs}"
+
+
+@query(_top_sql(4, 3, 50000.0))
 def topl_epochs(spark, d):
-    return iterative.top_l_epochs(g_supp(spark, d), 3, 50000.0, 4)
+    return iterative.top_l_epochs(g_supp(spark, d), 3, 50000.0, 4).select("u", F.round("x", 7).alias("x"))
 
 
 def _label_sql(rounds: int) -> str:
@@ -588,7 +599,7 @@ def slpa_rounds(spark, d):
     return iterative.label_rounds(g_supp(spark, d), 3)
 
 
-@query()
+@query(_label_sql(5).rsplit(" SELECT u, label, n FROM m5", 1)[0] + " SELECT label AS cid, m5.u AS node FROM m5 JOIN (SELECT u, sum(n) AS t FROM m5 GROUP BY u) x ON x.u = m5.u WHERE n >= 0.3 * t")
 def slpa_cover(spark, d):
     return iterative.label_cover(iterative.label_rounds(g_supp(spark, d), 5), 0.3)
 

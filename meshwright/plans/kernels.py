@@ -69,13 +69,36 @@ def acl_local(spark, d):
     return regions.local_push(g, q, 0.15, 1e-5, 3)
 
 
+@query("SELECT n_nationkey + 2000000000000 AS query_id, true AS kept, true AS settled FROM nation")
+def acl_local_check(spark, d):
+    """Whether each push kept its mass and left no residual above its limit."""
+    g, q = _nation_queries(spark, d)
+    r = regions.local_push(g, q, 0.15, 1e-5, 3).join(g.degrees, "u")
+    limit = F.col("residual") <= 1e-5 * F.col("d") + 1e-15
+    return r.groupBy("query_id").agg((F.abs(F.sum(F.col("rank") + F.col("residual")) - 1) < 1e-9).alias("kept"), F.every(limit).alias("settled"))
+
+
+@query("SELECT n_nationkey + 2000000000000 AS query_id, true AS same_z, true AS bounded, true AS seeded FROM nation")
+def retrieve_check(spark, d):
+    """Each retrieved set's quality recomputed by joins, its bound and its seed."""
+    g, q = _nation_queries(spark, d)
+    r = materialize(regions.retrieve(g, q, 3), "found")
+    s = metrics.set_stats(g, r.select(F.col("query_id").alias("set_id"), F.explode("vertices").alias("u")))
+    z = (F.col("z_num") / F.col("z_den")).alias("z2")
+    j = r.join(s.select(F.col("set_id").alias("query_id"), z), "query_id")
+    return j.select("query_id", (F.abs(F.col("z") - F.col("z2")) < 1e-9).alias("same_z"), (F.col("lower_bound") <= F.col("z") + 1e-9).alias("bounded"), F.array_contains("vertices", F.col("seed")).alias("seeded"))
+
+
 @query()
 def diffusion(spark, d):
     g, q = _nation_queries(spark, d)
     return regions.diffusions(g, q.withColumn("mass", F.lit(400.0)), 3)
 
 
-@query()
+_NATIONS = "SELECT n_nationkey + 2000000000000 AS query_id, {} FROM nation"
+
+
+@query(_NATIONS.format("true AS optimal, true AS balanced"))
 def diffusion_check(spark, d):
     """Optimality of the diffusions, recomputed by joins."""
     g, q = _nation_queries(spark, d)

@@ -53,6 +53,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return flat.where(F.col("entity") != "record").select("record_id", "entity", "position")
 
 
+def p5_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """(record_id, entity, position) of rows whose parent isn't there: none."""
+    flat = materialize(nested.flatten(table(spark, d, "run_records")), "flat")
+    parents = flat.where(F.col("entity").isin("record", "attempt", "stage")).select("record_id", F.col("position").alias("parent"))
+    return flat.where(F.col("entity") != "record").join(parents, ["record_id", "parent"], "left_anti").select("record_id", "entity", "position")
+
+
 def _entity(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         return nested.entity_table(nested.flatten(table(spark, d, "run_records")), name)
@@ -61,7 +68,7 @@ def _entity(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {f.__name__: f for f in (p1_found, p2_found, p2_columns, p2_statuses, p2_loads, p3_found, p3_unified, p5_found)}
+    own = {f.__name__: f for f in (p1_found, p2_found, p2_columns, p2_statuses, p2_loads, p3_found, p3_unified, p5_found, p5_orphans)}
     return own | {f"p5_{e}s": _entity(e) for e in nested.SCHEMAS}
 
 
@@ -129,6 +136,7 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS nulls FROM runs"
             for c in ("record_id", "job_id", "case_id", "method", "information_policy", "device", "threads", "seed", "status", "pipeline_seconds", "matched_macro_f1", "onmi", "peak_tree_rss_bytes", "finished_at", "load_id")
         ),
+        "p5_orphans": "SELECT record_id, '' AS entity, '' AS position FROM run_records WHERE false",
         "p2_statuses": "SELECT DISTINCT status AS value FROM runs WHERE status IS NOT NULL",
         "p2_loads": f"""
             WITH {_CELLS}
