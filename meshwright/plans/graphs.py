@@ -577,12 +577,12 @@ n{i} AS (SELECT deg.u, x{i}.x IS NOT NULL AS active, coalesce(inw, 0) / d AS sh,
   greatest(coalesce(x, 0) - 0.5 * (d * (1 + 0.0001 * coalesce(x, 0)) + d * coalesce(x, 0) - coalesce(ax, 0) - CASE WHEN deg.u = {seed} THEN {mass} ELSE 0 END) / d, 0) AS y
   FROM deg LEFT JOIN i{i} ON i{i}.u = deg.u LEFT JOIN x{i} ON x{i}.u = deg.u WHERE d > 0 AND (i{i}.u IS NOT NULL OR x{i}.u IS NOT NULL)),
 x{i + 1} AS (SELECT u, y AS x FROM n{i} WHERE active AND (y > 0 OR u = {seed}) UNION ALL SELECT u, y FROM (SELECT u, y FROM n{i} WHERE NOT active AND y > 0 ORDER BY y * sh DESC, u LIMIT 50))""")
-    return ", ".join(parts) + f" SELECT u, round(x, 7) AS x FROM x{epochs}"
+    return ", ".join(parts) + f" SELECT u, round(x, 4) AS x FROM x{epochs}"
 
 
-@query(_top_sql(4, 3, 50000.0))
+@query(_top_sql(5, 3, 5000000.0))
 def topl_epochs(spark, d):
-    return iterative.top_l_epochs(g_supp(spark, d), 3, 50000.0, 4).select("u", F.round("x", 7).alias("x"))
+    return iterative.top_l_epochs(g_supp(spark, d), 3, 5000000.0, 5).select("u", F.round("x", 4).alias("x"))
 
 
 def _label_sql(rounds: int) -> str:
