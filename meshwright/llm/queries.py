@@ -47,6 +47,20 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(packing.pack(sizes, boxes), sizes, boxes)
 
 
+def p7_validity(spark: SparkSession, d: str) -> DataFrame:
+    """(container_class, documents, overfull, wrong): how many documents are packed, containers overfilled, documents cut wrongly."""
+    sizes = materialize(tokens.token_counts(table(spark, d, "documents")), "sizes")
+    boxes = table(spark, d, "pack_containers").withColumnRenamed("capacity_tokens", "cap")
+    packed = materialize(packing.pack(sizes, table(spark, d, "pack_containers")), "packed")
+    load = packed.groupBy("container_class", "container").agg(F.sum("tokens").alias("t")).join(boxes, "container_class")
+    load = load.groupBy("container_class").agg(F.count_if(F.col("t") > F.col("cap")).alias("overfull"))
+    docs = packed.groupBy("container_class", "doc_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("k"), F.max("piece").alias("m"))
+    docs = docs.join(sizes, "doc_id").join(boxes, "container_class")
+    right = (F.col("t") == F.col("tokens")) & (F.col("k") == F.col("m") + 1) & (F.col("k") == F.greatest(F.ceil(F.col("tokens") / F.col("cap")), F.lit(1)))
+    docs = docs.groupBy("container_class").agg(F.count("*").alias("documents"), F.count_if(~right).alias("wrong"))
+    return docs.join(load, "container_class").select("container_class", "documents", "overfull", "wrong")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return content.scored(docs, table(spark, d, "review_labels")).where("found").select("doc_id")
@@ -63,7 +77,7 @@ def p8_source_rates(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p4_found, p4_percentiles, p4_load_sketches, p6_ids, p6_decoded, p7_containers, p7_report, p8_found, p8_scores, p8_source_rates)
+        for f in (p4_found, p4_percentiles, p4_load_sketches, p6_ids, p6_decoded, p7_containers, p7_report, p7_validity, p8_found, p8_scores, p8_source_rates)
     }
 
 
@@ -86,5 +100,6 @@ def oracle_sql() -> dict[str, str]:
               GROUP BY v.method, v.run_date, v.metric, m.pct, m.reference_value)
             SELECT DISTINCT method, run_date, metric, pct FROM c
             WHERE n >= 40 AND CASE WHEN metric = 'pipeline_seconds' THEN upto * 100 < pct * n ELSE under * 100 >= pct * n END""",
+        "p7_validity": "SELECT container_class, (SELECT count(*) FROM documents) AS documents, 0 AS overfull, 0 AS wrong FROM pack_containers",
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
