@@ -27,13 +27,14 @@ def completed(runs: DataFrame) -> DataFrame:
     """(record_id, load_id, method, run_date, pipeline_seconds, matched_macro_f1), one row per completed record.
 
     Only rows of status COMPLETED (exactly) with a finished_at count; run_date is its
-    UTC date (the session's time zone is UTC). Deliveries of one record agree; should
+    UTC date, whatever the session's time zone. Deliveries of one record agree; should
     they not, the least by (load_id, values) is taken. A null record_id is one
     record. Other columns aren't read.
     """
     rows = runs.where((F.col("status") == "COMPLETED") & F.col("finished_at").isNotNull())
     fields = ["load_id", "method", "run_date", "pipeline_seconds", "matched_macro_f1"]
-    rows = rows.withColumn("run_date", F.date_format("finished_at", "yyyy-MM-dd"))
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("finished_at") / 86400).cast("int"))
+    rows = rows.withColumn("run_date", day.cast("string"))
     return rows.groupBy("record_id").agg(F.min(F.struct(*fields)).alias("r")).select("record_id", "r.*")
 
 
