@@ -85,6 +85,37 @@ _CELLS = f"""
              peak_tree_rss_bytes BETWEEN 1048576 AND 1099511627776 FROM runs)"""
 
 
+def _opened(x: str) -> str:
+    """SQL for a JSON value out of the text it may be written in."""
+    return f"(CASE WHEN json_type({x}) = 'VARCHAR' THEN CASE WHEN json_valid({x} ->> '$') THEN CAST({x} ->> '$' AS JSON) END ELSE {x} END)"
+
+
+def _listed(x: str) -> str:
+    """SQL for a list in whichever way it is written, as a JSON array or an object of places."""
+    u = _opened(x)
+    places = f"list_bool_and(list_transform(json_keys({u}), lambda k: regexp_full_match(k, '[0-9]+')))"
+    return f"(CASE WHEN json_type({u}) = 'OBJECT' AND NOT {places} THEN json_array({u}) WHEN json_type({u}) IN ('OBJECT', 'ARRAY') THEN {u} END)"
+
+
+_SELECTION = _opened("(doc -> 'metadata' -> 'selection')")
+_NESTED = f"""
+    WITH RECURSIVE w AS (SELECT record_id, delivered_at, CASE WHEN json_valid(payload) THEN {_opened('CAST(payload AS JSON)')} END AS doc FROM run_records),
+    l AS (SELECT record_id, arg_max(doc, delivered_at) AS doc FROM w WHERE json_type(doc) = 'OBJECT' GROUP BY record_id),
+    t AS (
+      SELECT record_id, 'attempt' AS entity, {_listed("(doc -> 'attempts')")} AS lst FROM l
+      UNION ALL SELECT record_id, 'candidate', {_listed(f"({_SELECTION} -> 'candidates')")} FROM l),
+    a AS (SELECT record_id, entity, j.key AS position, j.value AS obj FROM t, json_each(t.lst) j WHERE t.lst IS NOT NULL AND j.type = 'OBJECT'),
+    k AS (
+      SELECT record_id, 'stage' AS entity, position, {_listed("(obj -> 'stage_seconds')")} AS lst FROM a WHERE entity = 'attempt'
+      UNION ALL SELECT record_id, 'margin', position, {_listed("(obj -> 'diagnosis' -> 'margins')")} FROM a WHERE entity = 'attempt'),
+    s AS (
+      SELECT k.record_id, k.entity, k.position || '/' || j.key AS position, {_listed("(j.value -> 'parts')")} AS lst
+      FROM k, json_each(k.lst) j WHERE k.lst IS NOT NULL AND j.type = 'OBJECT'
+      UNION ALL SELECT s.record_id, s.entity, s.position || '/' || j.key, {_listed("(j.value -> 'parts')")}
+      FROM s, json_each(s.lst) j WHERE s.lst IS NOT NULL AND s.entity = 'stage' AND j.type = 'OBJECT')
+    SELECT record_id, entity, CAST(position AS VARCHAR) AS position FROM a UNION ALL SELECT record_id, entity, position FROM s"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": r"""
@@ -136,6 +167,26 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS nulls FROM runs"
             for c in ("record_id", "job_id", "case_id", "method", "information_policy", "device", "threads", "seed", "status", "pipeline_seconds", "matched_macro_f1", "onmi", "peak_tree_rss_bytes", "finished_at", "load_id")
         ),
+        "p3_found": """
+            WITH ok AS (SELECT file_id, payload FROM result_lines WHERE payload IS NOT NULL AND json_valid(payload) AND json_type(payload) = 'OBJECT'),
+            f AS (SELECT DISTINCT file_id, json_extract_string(payload, '$.record_id') AS rec, substr(t.fullkey, 3) AS path,
+                    CASE WHEN t.type IN ('VARCHAR') THEN 'string' WHEN t.type = 'BOOLEAN' THEN 'boolean' WHEN t.type = 'ARRAY' THEN 'array' ELSE 'number' END AS kind, CAST(t.value AS VARCHAR) AS v
+                  FROM ok, json_tree(ok.payload) t WHERE t.type NOT IN ('OBJECT', 'NULL') AND t.fullkey NOT LIKE '%[%'),
+            pr AS (SELECT file_id, path, min(kind) AS kind FROM f GROUP BY file_id, path),
+            o AS (SELECT file_id, lag(file_id) OVER (PARTITION BY stream ORDER BY seq_no) AS prev FROM result_files),
+            n AS (SELECT o.file_id, path, kind FROM o JOIN pr ON pr.file_id = o.file_id WHERE prev IS NOT NULL),
+            b AS (SELECT o.file_id, path, kind FROM o JOIN pr ON pr.file_id = o.prev),
+            e AS (SELECT * FROM b WHERE (file_id, path) NOT IN (SELECT file_id, path FROM n)),
+            s AS (SELECT * FROM n WHERE (file_id, path) NOT IN (SELECT file_id, path FROM b)),
+            ev AS (SELECT e.file_id, e.path, f.rec, f.kind || f.v AS v FROM e JOIN o ON o.file_id = e.file_id JOIN f ON f.file_id = o.prev AND f.path = e.path WHERE rec IS NOT NULL),
+            sv AS (SELECT s.file_id, s.path, f.rec, f.kind || f.v AS v FROM s JOIN f ON f.file_id = s.file_id AND f.path = s.path WHERE rec IS NOT NULL),
+            m AS (SELECT ev.file_id, ev.path AS old_path, sv.path AS new_path, count(DISTINCT rec) AS n, count(DISTINCT CASE WHEN ev.v = sv.v THEN rec END) AS same FROM ev JOIN sv USING (file_id, rec) GROUP BY ALL),
+            r AS (SELECT file_id, old_path, new_path FROM m WHERE n = same)
+            SELECT file_id, 'renamed' AS change, old_path, new_path FROM r
+            UNION ALL SELECT file_id, 'removed', path, '' FROM e WHERE (file_id, path) NOT IN (SELECT file_id, old_path FROM r)
+            UNION ALL SELECT file_id, 'added', '', path FROM s WHERE (file_id, path) NOT IN (SELECT file_id, new_path FROM r)
+            UNION ALL SELECT n.file_id, 'retyped', n.path, n.path FROM n JOIN b ON n.file_id = b.file_id AND n.path = b.path WHERE n.kind <> b.kind""",
+        "p5_found": _NESTED,
         "p5_orphans": "SELECT record_id, '' AS entity, '' AS position FROM run_records WHERE false",
         "p2_statuses": "SELECT DISTINCT status AS value FROM runs WHERE status IS NOT NULL",
         "p2_loads": f"""
