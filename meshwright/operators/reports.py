@@ -87,10 +87,11 @@ def planned_runs(cases: DataFrame, methods: DataFrame, runs: DataFrame) -> DataF
     """(method, planned, completed, failed, not_run) with every case planned for every method.
 
     A case counts as completed for a method if any of its records did, as failed if
-    it has records but none completed. ``cases`` and ``methods`` are the small
-    catalogues whose product is the plan itself.
+    it has records but none completed. ``methods`` is a catalogue of a fixed number of
+    rows; its names are laid out beside every case.
     """
-    plan = cases.select("case_id").distinct().join(F.broadcast(methods.select("method").distinct()), F.lit(True))
+    names = sorted(r["method"] for r in methods.where(F.col("method").isNotNull()).select("method").distinct().collect())
+    plan = cases.select("case_id").distinct().select("case_id", F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("method"))
     done = runs.where(F.col("case_id").isNotNull()).groupBy("case_id", "method").agg(F.max(F.coalesce(F.col("status") == "COMPLETED", F.lit(False))).alias("ok"))
     j = plan.join(done, ["case_id", "method"], "left")
     return j.groupBy("method").agg(F.count("*").alias("planned"), F.count_if("ok").alias("completed"), F.count_if(~F.col("ok")).alias("failed"), F.count_if(F.col("ok").isNull()).alias("not_run"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwright.operators import metrics, regions, reports
-from meshwright.operators.graph import fingerprint, g_geo, g_part, g_supp
+from meshwright.operators.graph import fingerprint, g_geo, g_supp
 from meshwright.plans.graphs import GEO, brands
 from meshwright.session import materialize, table
 from meshwright.sources import generators
