@@ -10,6 +10,7 @@ position. A word that occurs in every text costs one row a block, not one a use.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +26,17 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BLOCK_CHARS = 1_000_000
 
 
-# The tokenizer's rule for pre-tokens, and ranges of characters whose
-# classes (letter, number, space) are the same in the tokenizer's tables and in
-# those of ``regex``. Texts with any other character are cut by the tokenizer itself.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The tokenizer's rule for pre-tokens in terms of ``re``'s classes, and
+# ranges of characters on which those classes (letter, digit, space, the rest) are the
+# tokenizer's. Texts with any other character are cut by the tokenizer itself.
+PATTERN = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+"
 SETTLED = (
-    r"\x00-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u0481\u048a-\u04ff\u2010-\u2027\u202f-\u205e"
-    r"\u20a0-\u20ba\u2190-\u21ff\u2200-\u22ff\u2600-\u26ff\u3000-\u3029\u3041-\u3096\u30a1-\u30fa"
-    r"\u4e00-\u9fa5\uac00-\ud7a3\ufe0f\uff01-\uff5e\u200d\u200b\u2714\U0001f1e6-\U0001f1ff\U0001f300-\U0001f64f\U0001f680-\U0001f6ff\U0001f900-\U0001f9ff"
+    r"\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u0481\u048a-\u04ff"
+    r"\u2010-\u2027\u202f-\u205e\u20a0-\u20ba\u2190-\u21ff\u2200-\u22ff\u2600-\u26ff\u2714\u3000-\u3006\u3008-\u3020"
+    r"\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\ufe0f\uff01-\uff5e\u200d\u200b"
+    r"\U0001f1e6-\U0001f1ff\U0001f300-\U0001f64f\U0001f680-\U0001f6ff\U0001f900-\U0001f9ff"
 )
+_SETTLED, _PATTERN = re.compile(f"[{SETTLED}]*"), re.compile(PATTERN)
 
 
 class _Places(dict):
@@ -73,13 +76,10 @@ def _cut(tokenizer: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        import regex
-
         exact = _Words.load(tokenizer).pre_tokenizer.pre_tokenize_str
-        settled, split = regex.compile(f"[{SETTLED}]*"), regex.compile(PATTERN).findall
 
         def cut(text: str) -> list[str]:
-            return split(text) if settled.fullmatch(text) else [text[a:b] for _, (a, b) in exact(text)]
+            return _PATTERN.findall(text) if _SETTLED.fullmatch(text) else [text[a:b] for _, (a, b) in exact(text)]
 
         context = TaskContext.get()
         block = (context.partitionId() if context else 0) << 36

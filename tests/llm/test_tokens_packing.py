@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 from itertools import product
 
 import numpy as np
@@ -53,10 +54,8 @@ def test_nothing_and_null_ids(spark):
 
 
 def test_settled_characters_are_cut_alike():
-    import regex
-
-    pre, cut = tokens._Words.load(tokens.tokenizer_text()).pre_tokenizer.pre_tokenize_str, regex.compile(tokens.PATTERN).findall
-    settled = regex.compile(f"[{tokens.SETTLED}]")
+    pre, cut = tokens._Words.load(tokens.tokenizer_text()).pre_tokenizer.pre_tokenize_str, tokens._PATTERN.findall
+    settled = re.compile(f"[{tokens.SETTLED}]")
     chars = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)]) if settled.fullmatch(c)]
     for lo in range(0, len(chars), 2000):
         for form in ("a%sb", "1%s2", " %s x", ".%s."):
