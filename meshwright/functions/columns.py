@@ -21,7 +21,8 @@ def reduced(num: Column, den: Column) -> Column:
     )
     g = step["a"]
     sign = F.when(den < 0, -1).otherwise(1)
-    return F.when(den != 0, F.struct((sign * F.floor(F.try_divide(num, g))).cast("bigint").alias("num"), F.floor(F.try_divide(F.abs(den), g)).cast("bigint").alias("den")))
+    top = (sign * F.floor(F.try_divide(num, g))).cast("bigint")
+    return F.when(den != 0, F.struct(top.alias("num"), F.floor(F.try_divide(F.abs(den), g)).cast("bigint").alias("den")))
 
 
 def mass_grid(degree: Column, m: int, start: float = 3.0, ratio: float = 2.0, fraction: float = 0.5) -> Column:
