@@ -8,11 +8,14 @@ distributions of two loads all come from that histogram.
 
 from __future__ import annotations
 
+import math
+import sys
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, BooleanType, DatetimeType, DecimalType, DoubleType, FloatType, LongType, NumericType, StructType
 
 from meshwright.operators.footers import chunk_statistics, dictionary_values, settled
 from meshwright.session import materialize
@@ -20,7 +23,10 @@ from meshwright.session import materialize
 
 @dataclass(frozen=True)
 class Rule:
-    """What is expected of a column: ``numeric`` columns have ``low`` and ``high``, others a ``vocabulary``."""
+    """What is expected of a column: ``numeric`` columns have ``low`` and ``high``, others a ``vocabulary``.
+
+    Without a vocabulary any text is valid.
+    """
 
     column: str
     numeric: bool = True
@@ -30,7 +36,7 @@ class Rule:
 
     def valid(self, value: Column) -> Column:
         if not self.numeric:
-            return value.isin(*self.vocabulary)
+            return value.isin(*self.vocabulary) if self.vocabulary else value.isNotNull()
         return ~F.isnan(value) & (value >= self.low) & (value <= self.high)
 
 
@@ -43,10 +49,39 @@ def order_bucket(x: Column) -> Column:
     return (F.signum(x) * F.floor(F.log1p(F.abs(x)) * _FINE)).cast("long")
 
 
+def every_rule(schema: StructType, rules: list[Rule]) -> list[Rule]:
+    """The rules and, for each column without one, a rule that takes every value but NaN for valid.
+
+    Times and booleans count as numbers; what is neither number nor text is compared as text.
+    """
+    ruled = {r.column for r in rules}
+    free = [
+        Rule(f.name, isinstance(f.dataType, (NumericType, DatetimeType, BooleanType)), -math.inf, math.inf)
+        for f in schema.fields
+        if f.name not in ruled
+    ]
+    return rules + free
+
+
+def _number(df: DataFrame, name: str) -> Column:
+    c, kind = F.col(name), df.schema[name].dataType
+    return (c.cast("timestamp") if isinstance(kind, DatetimeType) else c).cast("double")
+
+
+def _beyond(df: DataFrame, name: str) -> Column:
+    """The digits of whole numbers and decimals that doubles don't tell apart, else null."""
+    none = F.lit(None).cast("string")
+    if not isinstance(df.schema[name].dataType, (LongType, DecimalType)):
+        return none
+    c = F.col(name)
+    exact = (c >= -(2**53)) & (c <= 2**53) if isinstance(df.schema[name].dataType, LongType) else F.lit(False)
+    return F.when(c.isNotNull() & ~exact, c.cast("string"))
+
+
 def _unpivot(df: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
-    """(key, column, number, text): one row per row and column."""
+    """(key, column, number, text): one row per row and column; a number has text only where doubles aren't exact."""
     cells = [
-        F.struct(F.lit(r.column).alias("column"), (F.col(r.column).cast("double") if r.numeric else F.lit(None).cast("double")).alias("number"), (F.lit(None).cast("string") if r.numeric else F.col(r.column)).alias("text"))
+        F.struct(F.lit(r.column).alias("column"), (_number(df, r.column) if r.numeric else F.lit(None).cast("double")).alias("number"), (_beyond(df, r.column) if r.numeric else F.col(r.column).cast("string")).alias("text"))
         for r in rules
     ]
     return df.select(key, F.explode(F.array(*cells)).alias("c")).select(key, "c.*")
@@ -82,9 +117,10 @@ def _bare(uri: str) -> str:
 
 
 def load_statistics(cells: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
-    """(key, column, total, nulls, values, proper, distinct, invalid) per key and column.
+    """(key, column, total, nulls, values, proper, distinct, invalid, low, high, low_text, high_text) per key and column.
 
-    ``proper`` counts values that are neither null nor NaN.
+    ``proper`` counts values that are neither null nor NaN; ``low`` and ``high`` are
+    their extremes in columns of numbers, ``low_text`` and ``high_text`` in others.
     """
     empty = F.col("number").isNull() & F.col("text").isNull()
     valid = F.coalesce(*(F.when(F.col("column") == r.column, r.valid(F.col("number") if r.numeric else F.col("text"))) for r in rules))
@@ -97,6 +133,10 @@ def load_statistics(cells: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
         F.sum(F.when(~empty & ~nan, n).otherwise(0)).alias("proper"),
         F.count_if(~empty).alias("distinct"),
         F.sum(F.when(~empty & ~valid, n).otherwise(0)).alias("invalid"),
+        F.min(F.when(~nan, F.col("number"))).alias("low"),
+        F.max(F.when(~nan, F.col("number"))).alias("high"),
+        F.min(F.when(F.col("number").isNull(), F.col("text"))).alias("low_text"),
+        F.max(F.when(F.col("number").isNull(), F.col("text"))).alias("high_text"),
     )
 
 
@@ -200,24 +240,52 @@ STATUSES = (
     "COMPLETED", "TIMEOUT", "ERROR", "MEMORY_LIMIT", "INVALID_OUTPUT", "INTERRUPTED",
     "LAUNCH_ERROR", "LOG_LIMIT", "BLOCKED", "NOT_RUN_BUDGET", "NOT_RUN",
 )
+#: The checked columns of runs.
 RUN_RULES = [Rule("status", numeric=False, vocabulary=STATUSES), Rule("onmi"), Rule("peak_tree_rss_bytes", low=2.0**20, high=2.0**40)]
+#: Those and the other measures whose bounds follow from what they are.
+MEASURE_RULES = [*RUN_RULES, Rule("pipeline_seconds", high=sys.float_info.max), Rule("matched_macro_f1")]
 
 
-def column_profile(spark: SparkSession, path: str) -> DataFrame:
-    """(column_name, n_rows, nulls, low, high): each column's null count and range, from footers alone.
+def column_profile(spark: SparkSession, path: str, ranges: bool = True) -> DataFrame:
+    """(column_name, n_rows, nulls, low, high): each column's null count and range.
 
-    ``low`` and ``high`` are text; they are null where no chunk has exact extrema
-    (strings may be cut short there, so strings and lists have none). A float's
-    extrema leave NaN out.
+    Footers say what they can; a column with a chunk whose null count is missing, or,
+    with ``ranges``, whose extrema are missing or not exact, is scanned. ``low`` and
+    ``high`` are text and leave NaN out. Of nested columns, which aren't scanned, what
+    the footers leave open is null.
     """
-    chunks = chunk_statistics(spark, path)
+    chunks = materialize(chunk_statistics(spark, path), "chunks")
     numeric = F.col("exact") | F.col("physical").isin("DOUBLE", "FLOAT")
+    # a float's extrema don't settle its range where they may be cut short by NaN or missing
+    ranged = (F.col("exact") & F.col("low").isNotNull()) | (F.col("physical").isin("DOUBLE", "FLOAT") & F.col("low_num").isNotNull() & F.col("high_num").isNotNull()) | (F.col("nulls") == F.col("num_rows"))
     whole = chunks.groupBy("column").agg(
-        F.sum("num_rows").alias("n_rows"), F.sum("nulls").alias("nulls"),
+        F.sum("num_rows").alias("n_rows"), F.when(F.count("nulls") == F.count("*"), F.sum("nulls")).alias("nulls"), F.every(F.coalesce(ranged, F.lit(False))).alias("ranged"),
         F.min(F.when(numeric, F.col("low_num"))).alias("a"), F.max(F.when(numeric, F.col("high_num"))).alias("b"),
         F.min(F.when(F.col("exact"), F.col("low"))).alias("ta"), F.max(F.when(F.col("exact"), F.col("high"))).alias("tb"),
     )
-    return whole.select(F.col("column").alias("column_name"), "n_rows", "nulls", F.coalesce(F.col("a").cast("string"), "ta").alias("low"), F.coalesce(F.col("b").cast("string"), "tb").alias("high"))
+    told = F.col("ranged") if ranges else F.lit(False)
+    said = whole.select(
+        F.col("column").alias("column_name"), "n_rows", "nulls", F.when(told, F.coalesce(F.col("a").cast("string"), "ta")).alias("low"), F.when(told, F.coalesce(F.col("b").cast("string"), "tb")).alias("high"), "ranged"
+    )
+    # one row a column
+    open_ = [r["column_name"] for r in said.where(F.col("nulls").isNull() | (F.lit(ranges) & ~F.col("ranged"))).select("column_name").collect()]
+    table = spark.read.parquet(path)
+    names = [f.name for f in table.schema.fields if f.name in set(open_)]
+    said = said.drop("ranged")
+    if not names:
+        return said
+
+    def extremes(c: str) -> list[Column]:
+        kind = table.schema[c].dataType
+        if not ranges or not isinstance(kind, AtomicType):
+            return [F.lit(None).cast("string"), F.lit(None).cast("string")]
+        v = F.when(~F.isnan(c), F.col(c)) if isinstance(kind, (DoubleType, FloatType)) else F.col(c)
+        return [F.min(v).cast("string"), F.max(v).cast("string")]
+
+    sums = [F.struct(F.lit(c).alias("column_name"), F.count_if(F.col(c).isNull()).alias("s_nulls"), extremes(c)[0].alias("s_low"), extremes(c)[1].alias("s_high")) for c in names]
+    scan = table.agg(F.array(*sums).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    pick = [F.coalesce(F.col(f"s_{c}"), F.col(c)).alias(c) for c in ("nulls", "low", "high")]
+    return said.join(scan, "column_name", "left").select("column_name", "n_rows", *pick)
 
 
 def distinct_values(spark: SparkSession, path: str, column: str) -> DataFrame:

@@ -21,7 +21,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_columns(spark: SparkSession, d: str) -> DataFrame:
     """Rows and nulls of every column of runs, from the footers."""
-    return profile.column_profile(spark, f"{d}/runs.parquet").select("column_name", "n_rows", "nulls")
+    return profile.column_profile(spark, f"{d}/runs.parquet", ranges=False).select("column_name", "n_rows", "nulls")
 
 
 def p2_statuses(spark: SparkSession, d: str) -> DataFrame:
@@ -36,6 +36,22 @@ def p2_loads(spark: SparkSession, d: str) -> DataFrame:
     return stats.select("load_id", F.col("column").alias("column_name"), F.col("total").alias("n_rows"), "nulls", F.col("distinct").alias("distinct_values"), "invalid")
 
 
+def _run_rules(spark: SparkSession, d: str) -> list[profile.Rule]:
+    return profile.every_rule(table(spark, d, "runs").schema, profile.MEASURE_RULES)
+
+
+def p2_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of nulls, distinct and invalid values and the range of every column of each load."""
+    rules = _run_rules(spark, d)
+    stats = profile.load_statistics(profile.histogram(spark, f"{d}/runs.parquet", "load_id", rules), "load_id", rules)
+    return stats.select("load_id", F.col("column").alias("column_name"), F.col("total").alias("n_rows"), "nulls", F.col("distinct").alias("distinct_values"), "invalid", "low", "high", "low_text", "high_text")
+
+
+def p2_changes(spark: SparkSession, d: str) -> DataFrame:
+    """What p2_found reports, for every column of runs; ids and times differ between loads by nature."""
+    return profile.findings(spark, f"{d}/runs.parquet", table(spark, d, "loads"), _run_rules(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(table(spark, d, "result_files"), table(spark, d, "result_lines"))
 
@@ -68,7 +84,7 @@ def _entity(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {f.__name__: f for f in (p1_found, p2_found, p2_columns, p2_statuses, p2_loads, p3_found, p3_unified, p5_found, p5_orphans)}
+    own = {f.__name__: f for f in (p1_found, p2_found, p2_columns, p2_statuses, p2_loads, p2_profile, p2_changes, p3_found, p3_unified, p5_found, p5_orphans)}
     return own | {f"p5_{e}s": _entity(e) for e in nested.SCHEMAS}
 
 
@@ -85,6 +101,29 @@ _CELLS = f"""
              peak_tree_rss_bytes BETWEEN 1048576 AND 1099511627776 FROM runs)"""
 
 
+_NUMBERS = {
+    "record_id": "true", "threads": "true", "seed": "true", "load_id": "true", "finished_at": "true", "onmi": "x BETWEEN 0 AND 1", "matched_macro_f1": "x BETWEEN 0 AND 1",
+    "pipeline_seconds": "x BETWEEN 0 AND 1.7976931348623157e308", "peak_tree_rss_bytes": "x BETWEEN 1048576 AND 1099511627776",
+}
+_TEXTS = {"job_id": "true", "case_id": "true", "method": "true", "information_policy": "true", "device": "true", "status": f"t IN ({_STATUSES})"}
+
+
+def _profile_sql() -> str:
+    """SQL for the profile of every column of each load."""
+    parts = [
+        f"""SELECT load_id, '{c}' AS column_name, count(*) AS n_rows, count(*) - count(x) AS nulls, count(DISTINCT x) AS distinct_values, count(*) FILTER (WHERE x IS NOT NULL AND NOT (NOT isnan(x) AND {ok})) AS invalid,
+        min(x) FILTER (WHERE NOT isnan(x)) AS low, max(x) FILTER (WHERE NOT isnan(x)) AS high, CAST(NULL AS VARCHAR) AS low_text, CAST(NULL AS VARCHAR) AS high_text
+        FROM (SELECT load_id, {'epoch_us(finished_at) / 1e6' if c == 'finished_at' else f'CAST({c} AS DOUBLE)'} AS x FROM runs) WHERE load_id IS NOT NULL GROUP BY load_id"""
+        for c, ok in _NUMBERS.items()
+    ]
+    parts += [
+        f"""SELECT load_id, '{c}', count(*), count(*) - count(t), count(DISTINCT t), count(*) FILTER (WHERE t IS NOT NULL AND NOT ({ok})), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), min(t), max(t)
+        FROM (SELECT load_id, {c} AS t FROM runs) WHERE load_id IS NOT NULL GROUP BY load_id"""
+        for c, ok in _TEXTS.items()
+    ]
+    return " UNION ALL ".join(parts)
+
+
 def _opened(x: str) -> str:
     """SQL for a JSON value out of the text it may be written in."""
     return f"(CASE WHEN json_type({x}) = 'VARCHAR' THEN CASE WHEN json_valid({x} ->> '$') THEN CAST({x} ->> '$' AS JSON) END ELSE {x} END)"
@@ -189,6 +228,7 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": _NESTED,
         "p5_orphans": "SELECT record_id, '' AS entity, '' AS position FROM run_records WHERE false",
         "p2_statuses": "SELECT DISTINCT status AS value FROM runs WHERE status IS NOT NULL",
+        "p2_profile": _profile_sql(),
         "p2_loads": f"""
             WITH {_CELLS}
             SELECT load_id, column_name, count(*) AS n_rows, count(*) FILTER (WHERE empty) AS nulls,

@@ -95,3 +95,30 @@ def test_order_bucket_never_falls(spark):
     df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", profile.order_bucket(__import__("pyspark").sql.functions.col("x")).alias("b"))
     b = [r["b"] for r in sorted(df.collect(), key=lambda r: r["x"])]
     assert b == sorted(b)
+
+
+def test_every_column_per_load(spark, tmp_path):
+    """A load whose unchecked column goes bad is seen; the rules for three columns alone miss it."""
+    path = str(tmp_path / "runs.parquet")
+    schema = "load_id long, pipeline_seconds double, method string, big long"
+    rows = [(k, float(i) * (1 if k == 1 else -1), "a" if k == 1 else f"m{i}", 2**60 + i) for k in (1, 2) for i in range(20)] + [(2, float("nan"), None, None)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+    rules = profile.every_rule(spark.read.parquet(path).schema, [profile.Rule("pipeline_seconds", high=1e300)])
+    stats = profile.load_statistics(profile.histogram(spark, path, "load_id", rules), "load_id", rules)
+    got = {(r["load_id"], r["column"]): tuple(r[c] for c in ("total", "nulls", "distinct", "invalid", "low", "high", "low_text", "high_text")) for r in stats.collect()}
+    assert got[1, "pipeline_seconds"] == (20, 0, 20, 0, 0.0, 19.0, None, None)
+    assert got[2, "pipeline_seconds"] == (21, 0, 21, 20, -19.0, 0.0, None, None)
+    assert got[2, "method"] == (21, 1, 20, 0, None, None, "m0", "m9")
+    assert got[2, "big"][:4] == (21, 1, 20, 0) and got[2, "load_id"][:4] == (21, 0, 1, 0)
+    loads = spark.createDataFrame([(2, 1)], "load_id long, prior_load_id long")
+    found = {tuple(r)[1:] for r in profile.findings(spark, path, loads, rules).collect()}
+    assert found == {("pipeline_seconds", "invalid"), ("pipeline_seconds", "values"), ("method", "distinct"), ("method", "values"), ("load_id", "values")}
+
+
+def test_column_profile_scans_what_footers_leave_open(spark, tmp_path):
+    pa, pq = pytest.importorskip("pyarrow"), pytest.importorskip("pyarrow.parquet")
+    t = pa.table({"a": pa.array([1, None, 3], pa.int64()), "s": pa.array(["x", None, None]), "f": pa.array([float("nan"), 2.0, None])})
+    for name, kept in (("p.parquet", True), ("q.parquet", False)):
+        pq.write_table(t, str(tmp_path / name), write_statistics=kept)
+    got = {r["column_name"]: tuple(r)[1:] for r in profile.column_profile(spark, str(tmp_path)).collect()}
+    assert got == {"a": (6, 2, "1", "3"), "s": (6, 4, "x", "x"), "f": (6, 2, "2.0", "2.0")}
