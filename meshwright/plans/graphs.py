@@ -277,6 +277,15 @@ def profile_penalties(spark, d):
     return criteria.profile_penalty(g, g.edges.where("u % 50 = 0 AND v % 10 = 0"))
 
 
+@query(f"""{PART}, c AS (SELECT e.u, e.v, a.v AS x, a.w AS wa, 0 AS wb FROM e JOIN adj a ON a.u = e.u AND a.v <> e.v UNION ALL SELECT e.u, e.v, b.v, 0, b.w FROM e JOIN adj b ON b.u = e.v AND b.v <> e.u),
+s AS (SELECT u, v, x, sum(wa) AS wa, sum(wb) AS wb FROM c GROUP BY u, v, x), p AS (SELECT s.u, s.v, sum(abs(y.d * wa - z.d * wb)) AS num FROM s JOIN deg z ON z.u = s.u JOIN deg y ON y.u = s.v GROUP BY s.u, s.v)
+SELECT e.u, e.v, CAST(coalesce(num, 0) AS BIGINT) AS num, z.d + y.d AS den FROM e JOIN deg z ON z.u = e.u JOIN deg y ON y.u = e.v LEFT JOIN p ON p.u = e.u AND p.v = e.v""")
+def profile_penalties_all(spark, d):
+    """Distance from proportional neighbourhoods of every edge's ends."""
+    g = g_part(spark, d)
+    return criteria.profile_penalty(g, g.edges)
+
+
 @query(f"""{PART}, b AS (SELECT p_brand || '/' || (p_size % 4) AS block_id, p_partkey AS u, d FROM part JOIN deg ON deg.u = p_partkey),
 k AS (SELECT block_id, count(*) AS k FROM b GROUP BY block_id),
 r AS (SELECT b.block_id, b.u, adj.v AS x, w / b.d AS r FROM b JOIN adj ON adj.u = b.u LEFT JOIN b i ON i.block_id = b.block_id AND i.u = adj.v WHERE i.u IS NULL),
@@ -358,6 +367,19 @@ def mm_surrogate(spark, d):
     return ordered.surrogate(g_part(spark, d), p.where("u <= 200"), p.where("u <= 60"), _seeds(spark).where("query_id = 1"), _scores(spark, d))
 
 
+@query(f"""{PART}, {_SCORE}, sq AS (SELECT * FROM (VALUES (1, 5), (2, 7)) s(query_id, seed)), s AS (SELECT query_id, b.p_partkey AS u FROM sq JOIN part a ON a.p_partkey = seed JOIN part b ON b.p_brand = a.p_brand),
+z AS (SELECT query_id, CAST(sum(d) AS BIGINT) AS vol FROM s JOIN deg ON deg.u = s.u GROUP BY query_id), i AS (SELECT a.query_id, CAST(sum(w) AS BIGINT) AS inn FROM adj JOIN s a ON a.u = adj.u JOIN s b ON b.u = adj.v AND b.query_id = a.query_id GROUP BY a.query_id),
+o AS (SELECT sq.query_id, deg.u, deg.d, sum(deg.d) OVER (PARTITION BY sq.query_id ORDER BY CASE WHEN deg.u = seed THEN 0 WHEN s.u IS NOT NULL THEN 1 ELSE 2 END, coalesce(x, 0) DESC, deg.u ROWS UNBOUNDED PRECEDING) AS c
+  FROM sq CROSS JOIN part JOIN deg ON deg.u = p_partkey LEFT JOIN s ON s.u = deg.u AND s.query_id = sq.query_id LEFT JOIN sc ON sc.u = deg.u AND sc.query_id = sq.query_id)
+SELECT o.query_id, o.u, CAST((c * c - (c - d) * (c - d)) * vol - ((vol - coalesce(inn, 0)) * m + vol * vol) * d AS BIGINT) AS num, CAST(m * vol AS BIGINT) AS den FROM o JOIN z ON z.query_id = o.query_id LEFT JOIN i ON i.query_id = o.query_id, tot""")
+def mm_surrogate_all(spark, d):
+    """One minorise step over all parts, from the brand of each query's seed."""
+    p, s = table(spark, d, "part"), _seeds(spark)
+    brand = p.join(s, F.col("p_partkey") == F.col("seed")).select("query_id", "p_brand")
+    region = p.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("query_id"), F.col("p_partkey").alias("u"))
+    return ordered.surrogate(g_part(spark, d), region, p.join(brand, "p_brand").select("query_id", F.col("p_partkey").alias("u")), s, _scores(spark, d))
+
+
 @query("""WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
 k AS (SELECT * FROM (VALUES (1), (3), (9)) k(k)), j AS (SELECT o_custkey, k, i, o_totalprice FROM r, k WHERE i <= k)
 SELECT o_custkey, k, min(i) FILTER (WHERE o_totalprice = b) AS best_at, any_value(b) AS best FROM (SELECT *, max(o_totalprice) OVER (PARTITION BY o_custkey, k) AS b, count(*) OVER (PARTITION BY o_custkey, k) AS n FROM j) WHERE n = k GROUP BY o_custkey, k""")
@@ -531,8 +553,8 @@ def components_parts(spark, d):
 
 @query()
 def block_union(spark, d):
-    """Parts united through orders of the same customer and day."""
-    b = table(spark, d, "lineitem").where("l_linenumber <= 2").select((F.col("l_orderkey")).alias("block_id"), F.col("l_partkey").alias("u"))
+    """Parts united through the orders they are in, over all lines."""
+    b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("block_id"), F.col("l_partkey").alias("u"))
     return iterative.union_of_blocks(b)
 
 

@@ -167,6 +167,15 @@ def support_nesting(spark, d):
     return regions.unnested_supports(h, order)
 
 
+@query("""WITH m AS (SELECT o_custkey AS query_id, CAST(o_totalprice AS DOUBLE) AS mass, o_orderkey % 5 AS u FROM orders), o AS (SELECT query_id, mass, lead(mass) OVER (PARTITION BY query_id ORDER BY mass) AS nx FROM (SELECT DISTINCT query_id, mass FROM m))
+SELECT m.query_id, m.mass, m.u FROM m JOIN o ON o.query_id = m.query_id AND o.mass = m.mass WHERE nx IS NOT NULL AND NOT EXISTS (SELECT 1 FROM m n WHERE n.query_id = m.query_id AND n.mass = o.nx AND n.u = m.u)""")
+def support_nesting_all(spark, d):
+    """The same over the orders of all customers."""
+    h = table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_totalprice").alias("mass"), (F.col("o_orderkey") % 5).alias("u"), F.lit(1.0).alias("x"))
+    order = h.select("query_id", "mass").distinct().withColumn("next_mass", F.lead("mass").over(Window.partitionBy("query_id").orderBy("mass")))
+    return regions.unnested_supports(h, order)
+
+
 @query("""SELECT 'matching_cliques' AS family, 40 AS n, 400 AS m, 800 AS volume UNION ALL SELECT 'common_hub', 41, 420, 840 UNION ALL SELECT 'hub_cliques', 13, 30, 60
 UNION ALL SELECT 'private_leaves', 30, 65, 130 UNION ALL SELECT 'clique_ring', 100, 145, 290 UNION ALL SELECT 'circulant', 64, 128, 256 UNION ALL SELECT 'families', 15, 20, 40""")
 def generated_families(spark, d):
