@@ -11,7 +11,7 @@ from collections.abc import Callable
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.functions import diffuse, exact, grouping
@@ -48,13 +48,15 @@ def read_region(pdf: pd.DataFrame) -> tuple[Rows, dict[int, int]]:
     return rows, degree
 
 
-def per_region(rows: DataFrame, key: str, schema: str, kernel: Callable[[Rows, dict[int, int], pd.DataFrame], list[tuple]], extra: DataFrame | None = None, limit: int = 20_000) -> DataFrame:
+def per_region(rows: DataFrame, key: str, schema: str, kernel: Callable[[Rows, dict[int, int], pd.DataFrame], list[tuple]], extra: DataFrame | None = None, limit: int = 20_000, instead: list[Column] | None = None) -> DataFrame:
     """``kernel`` run on each region; its tuples fill ``schema`` after the key.
 
     ``extra`` (key, ...) rides along, one row per region. A region of more than
-    ``limit`` edges gives no rows here: ask ``oversized`` for it.
+    ``limit`` edges gives one row of ``instead`` (expressions over ``extra``, in the
+    order of ``schema``); without it none, and ``oversized`` has to be asked.
     """
     names = [x.strip().split()[0] for x in schema.split(", ")]
+    every = rows
     small = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") <= limit).select(key)
     rows = rows.join(small, key, "left_semi")
     if extra is not None:
@@ -66,7 +68,14 @@ def per_region(rows: DataFrame, key: str, schema: str, kernel: Callable[[Rows, d
         got = kernel(region, degree, pdf)
         return pd.DataFrame([(pdf[key].iloc[0], *t) for t in got], columns=[key, *names])
 
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kind}, {schema}")
+    done = rows.groupBy(key).applyInPandas(run, f"{key} {kind}, {schema}")
+    if instead is None:
+        return done
+    over = oversized(every, key, limit)
+    if extra is not None:
+        over = over.join(extra, key)
+    types = [f.dataType for f in done.schema.fields[1:]]
+    return done.unionByName(over.select(key, *(c.cast(t).alias(n) for c, t, n in zip(instead, types, names, strict=True))))
 
 
 def oversized(rows: DataFrame, key: str, limit: int = 20_000) -> DataFrame:
@@ -74,8 +83,16 @@ def oversized(rows: DataFrame, key: str, limit: int = 20_000) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("edges")).where(F.col("edges") > limit)
 
 
+#: The status of a region too large for one task's kernel.
+_LIMIT = "region_limit"
+
+
 def retrieve(g: Graph, queries: DataFrame, hops: int = 2, variant: str = "main", limit: int = 200_000) -> DataFrame:
-    """(query_id, seed, status, size, z, lower_bound, region, u array) of seeded retrievals (query_id, seed)."""
+    """(query_id, seed, status, size, z, lower_bound, region, vertices) of seeded retrievals (query_id, seed).
+
+    A seed whose region has more than ``limit`` edges isn't searched: its status is
+    ``region_limit`` and it has no size or quality.
+    """
     how, m = diffuse.VARIANTS[variant], g.volume
     rows = region_rows(g, regions(g, queries.select("query_id", F.col("seed").alias("u")), hops))
 
@@ -86,29 +103,32 @@ def retrieve(g: Graph, queries: DataFrame, hops: int = 2, variant: str = "main",
         r = diffuse.retrieve(region, degree, m, seed, how)
         return [(seed, r["status"], len(r["vertices"]), r.get("z"), r["lower_bound"], r["region"], r["vertices"])]
 
-    return per_region(rows, "query_id", "seed long, status string, size int, z double, lower_bound double, region int, vertices array<long>", kernel, queries.select("query_id", "seed"), limit)
+    return per_region(rows, "query_id", "seed long, status string, size int, z double, lower_bound double, region int, vertices array<long>", kernel, queries.select("query_id", "seed"), limit, [F.col("seed"), F.lit(_LIMIT), *[F.lit(None)] * 4, F.array("seed")])
 
 
-def local_push(g: Graph, queries: DataFrame, alpha: float, rho: float, hops: int = 2) -> DataFrame:
-    """(query_id, u, rank, residual) of push with an exact queue within the hops of each seed."""
+def local_push(g: Graph, queries: DataFrame, alpha: float, rho: float, hops: int = 2, limit: int = 200_000) -> DataFrame:
+    """(query_id, u, rank, residual, status) of push with an exact queue within the hops of each seed.
+
+    Where the region has more than ``limit`` edges nothing is pushed: all mass is left at the seed.
+    """
     rows = region_rows(g, regions(g, queries.select("query_id", F.col("seed").alias("u")), hops))
 
     def kernel(region: Rows, degree: dict[int, int], pdf: pd.DataFrame) -> list[tuple]:
         rank, rest = diffuse.push(region, degree, int(pdf["seed"].iloc[0]), alpha, rho)
-        return [(u, rank.get(u, 0.0), rest.get(u, 0.0)) for u in sorted(rank.keys() | rest.keys())]
+        return [(u, rank.get(u, 0.0), rest.get(u, 0.0), "pushed") for u in sorted(rank.keys() | rest.keys())]
 
-    return per_region(rows, "query_id", "u long, rank double, residual double", kernel, queries.select("query_id", "seed"), 200_000)
+    return per_region(rows, "query_id", "u long, rank double, residual double, status string", kernel, queries.select("query_id", "seed"), limit, [F.col("seed"), F.lit(0.0), F.lit(1.0), F.lit(_LIMIT)])
 
 
-def diffusions(g: Graph, queries: DataFrame, hops: int = 2) -> DataFrame:
-    """(query_id, u, x) of the diffusion (query_id, seed, mass)."""
+def diffusions(g: Graph, queries: DataFrame, hops: int = 2, limit: int = 200_000) -> DataFrame:
+    """(query_id, u, x, status) of the diffusion (query_id, seed, mass); x is null where the region has more than ``limit`` edges."""
     rows = region_rows(g, regions(g, queries.select("query_id", F.col("seed").alias("u")), hops))
 
     def kernel(region: Rows, degree: dict[int, int], pdf: pd.DataFrame) -> list[tuple]:
         x, _ = diffuse.solve(region, degree, int(pdf["seed"].iloc[0]), float(pdf["mass"].iloc[0]))
-        return sorted(x.items())
+        return [(u, h, "diffused") for u, h in sorted(x.items())]
 
-    return per_region(rows, "query_id", "u long, x double", kernel, queries.select("query_id", "seed", "mass"), 200_000)
+    return per_region(rows, "query_id", "u long, x double, status string", kernel, queries.select("query_id", "seed", "mass"), limit, [F.col("seed"), F.lit(None), F.lit(_LIMIT)])
 
 
 def optimality(g: Graph, heights: DataFrame, queries: DataFrame, sigma: float = 1e-4) -> DataFrame:
@@ -136,8 +156,11 @@ def activation_masses(g: Graph, queries: DataFrame, sigma: float = 1e-4) -> Data
     return j.groupBy("query_id", "d").agg(F.min(F.col("dv") / F.col("w")).alias("r")).select("query_id", (F.col("d") + (1 + sigma) * F.col("d") * F.col("r")).alias("mass"))
 
 
-def refinements(g: Graph, members: DataFrame, starts: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(query_id, size, steps, z, lower_bound) of sets (query_id, u) refined by exact cuts within regions (query_id, u)."""
+def refinements(g: Graph, members: DataFrame, starts: DataFrame, seeds: DataFrame, limit: int = 200_000) -> DataFrame:
+    """(query_id, size, steps, z, lower_bound, status) of sets (query_id, u) refined by exact cuts within regions (query_id, u).
+
+    Regions of more than ``limit`` edges have status ``region_limit`` and nothing else.
+    """
     m = g.volume
     start = starts.groupBy("query_id").agg(F.sort_array(F.collect_set("u")).alias("start"))
     rows = region_rows(g, members)
@@ -147,9 +170,9 @@ def refinements(g: Graph, members: DataFrame, starts: DataFrame, seeds: DataFram
         s = {int(u) for u in pdf["start"].iloc[0]} & region.keys() | {seed}
         s, steps = refine(region, degree, m, seed, s, {})
         bound, _, _ = regional_bound(region, degree, m, seed)
-        return [(len(s), steps, float(diffuse.quality(region, degree, m, s)), bound)]
+        return [(len(s), steps, float(diffuse.quality(region, degree, m, s)), bound, "refined")]
 
-    return per_region(rows, "query_id", "size int, steps int, z double, lower_bound double", kernel, seeds.join(start, "query_id"), 200_000)
+    return per_region(rows, "query_id", "size int, steps int, z double, lower_bound double, status string", kernel, seeds.join(start, "query_id"), limit, [*[F.lit(None)] * 4, F.lit(_LIMIT)])
 
 
 #: Named block criteria: region, degrees, m, block -> status.

@@ -29,9 +29,9 @@ def query(sql: str | None = None):
 
 
 def _supplier_queries(spark, d):
-    """Every tenth supplier is a seed."""
+    """Every supplier of the graph is a seed."""
     g = g_supp(spark, d)
-    return g, g.degrees.where("u % 10 = 3").select(F.col("u").alias("query_id"), F.col("u").alias("seed"))
+    return g, g.degrees.select(F.col("u").alias("query_id"), F.col("u").alias("seed"))
 
 
 def _blocks(spark, d):
@@ -52,6 +52,12 @@ def retrieve_seed(spark, d):
     return regions.retrieve(g, q, hops=3)
 
 
+@query()
+def retrieve_supp(spark, d):
+    """Communities around every supplier in the supplier graph, which has cycles."""
+    return regions.retrieve(*_supplier_queries(spark, d))
+
+
 @query()
 def retrieve_variants(spark, d):
     g, q = _nation_queries(spark, d)
@@ -85,8 +91,9 @@ def retrieve_check(spark, d):
     r = materialize(regions.retrieve(g, q, 3), "found")
     s = metrics.set_stats(g, r.select(F.col("query_id").alias("set_id"), F.explode("vertices").alias("u")))
     z = (F.col("z_num") / F.col("z_den")).alias("z2")
-    j = r.join(s.select(F.col("set_id").alias("query_id"), z), "query_id")
-    return j.select("query_id", (F.abs(F.col("z") - F.col("z2")) < 1e-9).alias("same_z"), (F.col("lower_bound") <= F.col("z") + 1e-9).alias("bounded"), F.array_contains("vertices", F.col("seed")).alias("seeded"))
+    j = r.join(s.select(F.col("set_id").alias("query_id"), z), "query_id", "left")
+    no = F.lit(False)
+    return j.select("query_id", F.coalesce(F.abs(F.col("z") - F.col("z2")) < 1e-9, no).alias("same_z"), F.coalesce(F.col("lower_bound") <= F.col("z") + 1e-9, no).alias("bounded"), F.array_contains("vertices", F.col("seed")).alias("seeded"))
 
 
 @query()
