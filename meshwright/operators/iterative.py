@@ -114,9 +114,12 @@ def recursive_contraction(g: Graph, p: int = 1, q: int = 1, limit: int = 64) ->
     return member, spark.createDataFrame(log, "round int, rule string, edges long")
 
 
-def push_rounds(g: Graph, seeds: DataFrame, alpha: float, rho: float, rounds: int, key: str = "query_id") -> DataFrame:
+def push_rounds(g: Graph, seeds: DataFrame, alpha: float, rho: float, rounds: int | None = None, key: str = "query_id") -> DataFrame:
     """(key, u, rank, residual) after rounds of lazy personalised push from (key, seed).
 
+    Without ``rounds`` it goes on until no residual exceeds rho d. That ends: each
+    round with a vertex that pushes turns more than alpha rho of the mass into rank.
+
     In a round every vertex whose residual exceeds rho d pushes at once: alpha of it
     stays as rank, half of the rest stays as residual, the other half goes to the
     neighbours by weight. This is a different schedule from a queue's with the same
@@ -124,9 +127,13 @@ def push_rounds(g: Graph, seeds: DataFrame, alpha: float, rho: float, rounds: in
     """
     d = g.degrees
     state = seeds.select(key, F.col("seed").alias("u"), F.lit(0.0).alias("rank"), F.lit(1.0).alias("residual"))
-    for _ in range(rounds):
+    hot = (F.col("residual") > rho * F.col("d")) & (F.col("d") > 0)
+    done = 0
+    while rounds is None or done < rounds:
         s = materialize(state.join(d, "u"), "push")
-        hot = (F.col("residual") > rho * F.col("d")) & (F.col("d") > 0)
+        if rounds is None and s.where(hot).isEmpty():
+            return s.select(key, "u", "rank", "residual")
+        done += 1
         go = s.where(hot).select(key, "u", ((1 - alpha) * F.col("residual") / (2 * F.col("d"))).alias("x"))
         sent = go.join(g.adj, "u").select(key, F.col("v").alias("u"), F.lit(0.0).alias("rank"), (F.col("x") * F.col("w")).alias("residual"))
         kept = s.select(

@@ -591,6 +591,13 @@ def acl_rounds(spark, d):
     return r.select("query_id", "u", F.round("rank", 10).alias("rank"), F.round("residual", 10).alias("residual"))
 
 
+@query()
+def acl_settled(spark, d):
+    """Push until no residual exceeds 1e-7 of a degree."""
+    s = spark.createDataFrame([(1, 3), (2, 8)], "query_id int, seed bigint")
+    return iterative.push_rounds(g_supp(spark, d), s, 0.15, 1e-7)
+
+
 def _top_sql(epochs: int, seed: int, mass: float) -> str:
     parts = [SUPP, f"x0 AS (SELECT u, CAST(0 AS DOUBLE) AS x FROM deg WHERE u = {seed})"]
     for i in range(epochs):
