@@ -7,7 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 
-from meshwright.functions.cuts import Rows
+from meshwright.functions.region import Rows
 
 
 def connected(rows: Rows, block: set[int]) -> list[list[int]]:

@@ -137,6 +137,12 @@ def held(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame])
     return _held[key]
 
 
+def forget(spark: SparkSession) -> None:
+    """Drop what is held for this application."""
+    for key in [k for k in _held if k[0] == spark.sparkContext.applicationId]:
+        del _held[key]
+
+
 def g_part(spark: SparkSession, d: str) -> Graph:
     """Parts ordered together."""
     return held(spark, d, "g_part", lambda: co_occurrence(table(spark, d, "lineitem"), "l_orderkey", "l_partkey").edges)

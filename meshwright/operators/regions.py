@@ -1,21 +1,23 @@
 """Small regions cut out of a large graph, and kernels run on each of them in parallel.
 
-A region is gathered per query or block by joins, as many hops as asked for; a task
-then holds one region at a time. How large a region may be is a parameter: larger
-ones are reported, not cut short.
+A region is gathered per query or block by joins; a task then holds one region at a
+time as whole-number arrays. How large a region may be is a parameter: larger ones
+are reported, not cut short. A retrieval's region grows where its diffusion does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.functions import diffuse, exact, grouping
-from meshwright.functions.cuts import Rows, refine, regional_bound
+from meshwright.functions.cuts import quality, refine, regional_bound
+from meshwright.functions.region import Region
 from meshwright.operators.graph import Graph
 from meshwright.session import materialize
 
@@ -36,19 +38,13 @@ def region_rows(g: Graph, members: DataFrame, key: str = "query_id") -> DataFram
     return r.join(d.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v", "left").select(key, "u", "v", "w", "du", "dv")
 
 
-def read_region(pdf: pd.DataFrame) -> tuple[Rows, dict[int, int]]:
-    rows: Rows = {}
-    degree: dict[int, int] = {}
-    for u, v, w, du, dv in pdf[["u", "v", "w", "du", "dv"]].itertuples(index=False):
-        r = rows.setdefault(int(u), {})
-        degree[int(u)] = int(du)
-        if not pd.isna(v):
-            r[int(v)] = int(w)
-            degree[int(v)] = int(dv)
-    return rows, degree
+#: Edges that one task's kernel takes: some 500 MB while a region is read.
+LIMIT = 2_000_000
+#: The status of a region too large for one task's kernel.
+_OVER = "region_limit"
 
 
-def per_region(rows: DataFrame, key: str, schema: str, kernel: Callable[[Rows, dict[int, int], pd.DataFrame], list[tuple]], extra: DataFrame | None = None, limit: int = 20_000, instead: list[Column] | None = None) -> DataFrame:
+def per_region(rows: DataFrame, key: str, schema: str, kernel: Callable[[Region, pd.DataFrame], list[tuple]], extra: DataFrame | None = None, limit: int = LIMIT, instead: list[Column] | None = None) -> DataFrame:
     """``kernel`` run on each region; its tuples fill ``schema`` after the key.
 
     ``extra`` (key, ...) rides along, one row per region. A region of more than
@@ -64,8 +60,7 @@ def per_region(rows: DataFrame, key: str, schema: str, kernel: Callable[[Rows, d
     kind = rows.select(key).schema[0].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        region, degree = read_region(pdf)
-        got = kernel(region, degree, pdf)
+        got = kernel(Region.read(pdf), pdf)
         return pd.DataFrame([(pdf[key].iloc[0], *t) for t in got], columns=[key, *names])
 
     done = rows.groupBy(key).applyInPandas(run, f"{key} {kind}, {schema}")
@@ -78,57 +73,84 @@ def per_region(rows: DataFrame, key: str, schema: str, kernel: Callable[[Rows, d
     return done.unionByName(over.select(key, *(c.cast(t).alias(n) for c, t, n in zip(instead, types, names, strict=True))))
 
 
-def oversized(rows: DataFrame, key: str, limit: int = 20_000) -> DataFrame:
+def oversized(rows: DataFrame, key: str, limit: int = LIMIT) -> DataFrame:
     """(key, edges) of the regions too large for one task's kernel."""
     return rows.groupBy(key).agg(F.count("*").alias("edges")).where(F.col("edges") > limit)
 
 
-#: The status of a region too large for one task's kernel.
-_LIMIT = "region_limit"
+_FOUND = "variant string, seed long, status string, size int, z double, lower_bound double, region int, vertices array<long>"
 
 
-def retrieve(g: Graph, queries: DataFrame, hops: int = 2, variant: str = "main", limit: int = 200_000) -> DataFrame:
-    """(query_id, seed, status, size, z, lower_bound, region, vertices) of seeded retrievals (query_id, seed).
+def retrieve(g: Graph, queries: DataFrame, variants: Sequence[str] = ("main",), limit: int = LIMIT) -> DataFrame:
+    """(query_id, variant, seed, status, size, z, lower_bound, region, vertices) of seeded retrievals (query_id, seed).
 
-    A seed whose region has more than ``limit`` edges isn't searched: its status is
-    ``region_limit`` and it has no size or quality.
+    A query starts with its seed's neighbourhood. Where a diffusion would raise
+    vertices outside, those come in with their neighbours and the query runs again,
+    so a region is as large as its diffusions ask for. A seed whose region has more
+    than ``limit`` edges is searched no further: its status is ``region_limit`` and it
+    has no size or quality. A seed without edges is alone, one that isn't in the
+    graph gives no row.
     """
-    how, m = diffuse.VARIANTS[variant], g.volume
-    rows = region_rows(g, regions(g, queries.select("query_id", F.col("seed").alias("u")), hops))
-
-    def kernel(region: Rows, degree: dict[int, int], pdf: pd.DataFrame) -> list[tuple]:
-        seed = int(pdf["seed"].iloc[0])
-        if degree[seed] <= 0:
-            return [(seed, "zero_degree", 1, None, None, 0, [seed])]
-        r = diffuse.retrieve(region, degree, m, seed, how)
-        return [(seed, r["status"], len(r["vertices"]), r.get("z"), r["lower_bound"], r["region"], r["vertices"])]
-
-    return per_region(rows, "query_id", "seed long, status string, size int, z double, lower_bound double, region int, vertices array<long>", kernel, queries.select("query_id", "seed"), limit, [F.col("seed"), F.lit(_LIMIT), *[F.lit(None)] * 4, F.array("seed")])
-
-
-def local_push(g: Graph, queries: DataFrame, alpha: float, rho: float, hops: int = 2, limit: int = 200_000) -> DataFrame:
+    m, names = g.volume, list(variants)
+    seeds = queries.select("query_id", "seed")
+    members = regions(g, seeds.withColumnRenamed("seed", "u"), 1)
+    done: DataFrame | None = None
+    while True:
+
+        def kernel(region: Region, pdf: pd.DataFrame) -> list[tuple]:
+            seed = int(pdf["seed"].iloc[0])
+            at = region.place(seed)
+            if region.degree[at] <= 0:
+                return [(k, seed, "zero_degree", 1, None, None, 0, [seed]) for k in names]
+            spread, out = diffuse.Diffusions(region, at), []
+            try:
+                for k in names:
+                    r = diffuse.retrieve(region, m, at, diffuse.VARIANTS[k], spread=spread)
+                    out.append((k, seed, r["status"], len(r["places"]), r.get("z"), r["lower_bound"], r["territory"], region.ids[r["places"]].tolist()))
+            except diffuse.RimRaised as more:
+                return [(names[0], seed, "grows", None, None, None, None, more.vertices)]
+            return out
+
+        over = [F.lit(names[0]), F.col("seed"), F.lit(_OVER), *[F.lit(None)] * 4, F.array("seed")]
+        got = materialize(per_region(region_rows(g, members), "query_id", _FOUND, kernel, seeds, limit, over), "found")
+        ready = got.where("status <> 'grows'")
+        done = ready if done is None else done.unionByName(ready)
+        more = got.where("status = 'grows'").select("query_id", F.explode("vertices").alias("u"))
+        if more.isEmpty():
+            return done
+        near = more.join(g.adj, "u").select("query_id", F.col("v").alias("u"))
+        stay = members.join(more.select("query_id").distinct(), "query_id", "left_semi")
+        members = materialize(stay.unionByName(more).unionByName(near).distinct(), "region")
+
+
+def local_push(g: Graph, queries: DataFrame, alpha: float, rho: float, hops: int = 2, limit: int = LIMIT) -> DataFrame:
     """(query_id, u, rank, residual, status) of push with an exact queue within the hops of each seed.
 
-    Where the region has more than ``limit`` edges nothing is pushed: all mass is left at the seed.
+    Where the region has more than ``limit`` edges nothing is pushed: all mass is left
+    at the seed. ``iterative.push_rounds`` has no such limit.
     """
     rows = region_rows(g, regions(g, queries.select("query_id", F.col("seed").alias("u")), hops))
 
-    def kernel(region: Rows, degree: dict[int, int], pdf: pd.DataFrame) -> list[tuple]:
-        rank, rest = diffuse.push(region, degree, int(pdf["seed"].iloc[0]), alpha, rho)
-        return [(u, rank.get(u, 0.0), rest.get(u, 0.0), "pushed") for u in sorted(rank.keys() | rest.keys())]
+    def kernel(region: Region, pdf: pd.DataFrame) -> list[tuple]:
+        rank, rest = diffuse.push(region, region.place(int(pdf["seed"].iloc[0])), alpha, rho)
+        rank = np.concatenate([rank, np.zeros(len(region.rim_ids))])
+        k = np.flatnonzero((rank > 0) | (rest > 0))
+        ids = np.concatenate([region.ids, region.rim_ids])[k]
+        return [(u, a, b, "pushed") for u, a, b in zip(ids.tolist(), rank[k].tolist(), rest[k].tolist())]
 
-    return per_region(rows, "query_id", "u long, rank double, residual double, status string", kernel, queries.select("query_id", "seed"), limit, [F.col("seed"), F.lit(0.0), F.lit(1.0), F.lit(_LIMIT)])
+    return per_region(rows, "query_id", "u long, rank double, residual double, status string", kernel, queries.select("query_id", "seed"), limit, [F.col("seed"), F.lit(0.0), F.lit(1.0), F.lit(_OVER)])
 
 
-def diffusions(g: Graph, queries: DataFrame, hops: int = 2, limit: int = 200_000) -> DataFrame:
+def diffusions(g: Graph, queries: DataFrame, hops: int = 2, limit: int = LIMIT) -> DataFrame:
     """(query_id, u, x, status) of the diffusion (query_id, seed, mass); x is null where the region has more than ``limit`` edges."""
     rows = region_rows(g, regions(g, queries.select("query_id", F.col("seed").alias("u")), hops))
 
-    def kernel(region: Rows, degree: dict[int, int], pdf: pd.DataFrame) -> list[tuple]:
-        x, _ = diffuse.solve(region, degree, int(pdf["seed"].iloc[0]), float(pdf["mass"].iloc[0]))
-        return [(u, h, "diffused") for u, h in sorted(x.items())]
+    def kernel(region: Region, pdf: pd.DataFrame) -> list[tuple]:
+        x, _ = diffuse.solve(region, region.place(int(pdf["seed"].iloc[0])), float(pdf["mass"].iloc[0]))
+        k = np.flatnonzero(x > 0)
+        return [(u, h, "diffused") for u, h in zip(region.ids[k].tolist(), x[k].tolist())]
 
-    return per_region(rows, "query_id", "u long, x double, status string", kernel, queries.select("query_id", "seed", "mass"), limit, [F.col("seed"), F.lit(None), F.lit(_LIMIT)])
+    return per_region(rows, "query_id", "u long, x double, status string", kernel, queries.select("query_id", "seed", "mass"), limit, [F.col("seed"), F.lit(None), F.lit(_OVER)])
 
 
 def optimality(g: Graph, heights: DataFrame, queries: DataFrame, sigma: float = 1e-4) -> DataFrame:
@@ -156,7 +178,7 @@ def activation_masses(g: Graph, queries: DataFrame, sigma: float = 1e-4) -> Data
     return j.groupBy("query_id", "d").agg(F.min(F.col("dv") / F.col("w")).alias("r")).select("query_id", (F.col("d") + (1 + sigma) * F.col("d") * F.col("r")).alias("mass"))
 
 
-def refinements(g: Graph, members: DataFrame, starts: DataFrame, seeds: DataFrame, limit: int = 200_000) -> DataFrame:
+def refinements(g: Graph, members: DataFrame, starts: DataFrame, seeds: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(query_id, size, steps, z, lower_bound, status) of sets (query_id, u) refined by exact cuts within regions (query_id, u).
 
     Regions of more than ``limit`` edges have status ``region_limit`` and nothing else.
@@ -165,76 +187,81 @@ def refinements(g: Graph, members: DataFrame, starts: DataFrame, seeds: DataFram
     start = starts.groupBy("query_id").agg(F.sort_array(F.collect_set("u")).alias("start"))
     rows = region_rows(g, members)
 
-    def kernel(region: Rows, degree: dict[int, int], pdf: pd.DataFrame) -> list[tuple]:
-        seed = int(pdf["seed"].iloc[0])
-        s = {int(u) for u in pdf["start"].iloc[0]} & region.keys() | {seed}
-        s, steps = refine(region, degree, m, seed, s, {})
-        bound, _, _ = regional_bound(region, degree, m, seed)
-        return [(len(s), steps, float(diffuse.quality(region, degree, m, s)), bound, "refined")]
+    def kernel(region: Region, pdf: pd.DataFrame) -> list[tuple]:
+        seed = region.place(int(pdf["seed"].iloc[0]))
+        if region.degree[seed] <= 0:
+            return [(1, 0, None, None, "zero_degree")]
+        given = np.flatnonzero(np.isin(region.ids, np.asarray(pdf["start"].iloc[0])))
+        s, steps = refine(region, m, seed, set(given.tolist()))
+        bound, _, _ = regional_bound(region, m, seed)
+        return [(len(s), steps, float(quality(region, m, s)), bound, "refined")]
 
-    return per_region(rows, "query_id", "size int, steps int, z double, lower_bound double, status string", kernel, seeds.join(start, "query_id"), limit, [*[F.lit(None)] * 4, F.lit(_LIMIT)])
+    return per_region(rows, "query_id", "size int, steps int, z double, lower_bound double, status string", kernel, seeds.join(start, "query_id"), limit, [*[F.lit(None)] * 4, F.lit(_OVER)])
 
 
-#: Named block criteria: region, degrees, m, block -> status.
-CRITERIA: dict[str, Callable[[Rows, dict[int, int], int, list[int]], str]] = {
-    "degree_copy": lambda r, d, m, b: exact.block_certificate(r, d, m, b, Fraction(1)),
-    "uniform_copy": lambda r, d, m, b: exact.contrast_certificate(r, d, m, b, Fraction(1)),
-    "almost_clique": lambda r, d, m, b: exact.almost_clique(r, d, m, b, 1, 1)[0],
-    "positive_closure": lambda r, d, m, b: exact.closure_block(r, d, m, b, 1, 1)[0],
+#: Named block criteria at resolution 1: block, m -> status.
+CRITERIA: dict[str, Callable[[Region, int], str]] = {
+    "degree_copy": lambda b, m: exact.block_certificate(b, m, Fraction(1)),
+    "uniform_copy": lambda b, m: exact.contrast_certificate(b, m, Fraction(1)),
+    "almost_clique": lambda b, m: exact.almost_clique(b, m, 1, 1)[0],
+    "positive_closure": lambda b, m: exact.closure_block(b, m, 1, 1)[0],
 }
 
 
-def block_panel(g: Graph, blocks: DataFrame, methods: list[str] | None = None, cap: int = 64) -> DataFrame:
+def block_panel(g: Graph, blocks: DataFrame, methods: list[str] | None = None, limit: int = LIMIT) -> DataFrame:
     """(block_id, size, method, status): each block (block_id, u) under each named criterion.
 
-    Blocks of more than ``cap`` vertices stay in the table as ``size_limit``, blocks
-    of fewer than two as ``too_small``.
+    Repeated members count once, null ones and those that aren't in the graph not at
+    all. Blocks of fewer than two vertices stay in the table as ``too_small``, those of
+    more than ``limit`` edges as ``size_limit``.
     """
     methods, m = methods or sorted(CRITERIA), g.volume
-    b = blocks.select("block_id", "u").distinct()
+    b = blocks.select("block_id", "u").distinct().join(g.vertices.select("u"), "u", "left_semi")
     size = b.groupBy("block_id").agg(F.count("*").cast("int").alias("size"))
-    fit = b.join(size.where(F.col("size").between(2, cap)), "block_id")
-    rows = region_rows(g, fit.select("block_id", "u"), "block_id")
+    rows = region_rows(g, b.join(size.where("size > 1"), "block_id", "left_semi"), "block_id")
 
-    def kernel(region: Rows, degree: dict[int, int], pdf: pd.DataFrame) -> list[tuple]:
-        block = sorted(region)
-        return [(len(block), k, CRITERIA[k](region, degree, m, block)) for k in methods]
+    def kernel(block: Region, pdf: pd.DataFrame) -> list[tuple]:
+        return [(block.n, k, CRITERIA[k](block, m)) for k in methods]
 
-    done = per_region(rows, "block_id", "size int, method string, status string", kernel, None, 10**9)
-    rest = size.where(~F.col("size").between(2, cap)).select("block_id", "size", F.explode(F.array(*map(F.lit, methods))).alias("method"), F.when(F.col("size") < 2, "too_small").otherwise("size_limit").alias("status"))
-    return done.unionByName(rest)
+    each = F.explode(F.array(*map(F.lit, methods))).alias("method")
+    done = per_region(rows, "block_id", "size int, method string, status string", kernel, None, limit)
+    over = oversized(rows, "block_id", limit).join(size, "block_id").select("block_id", "size", each, F.lit("size_limit").alias("status"))
+    return done.unionByName(size.where("size < 2").select("block_id", "size", each, F.lit("too_small").alias("status"))).unionByName(over)
 
 
 def optima(g: Graph, blocks: DataFrame, cap: int = 10) -> DataFrame:
     """(block_id, size, active, kept, ties): whether keeping a block whole is optimal for it and who is drawn to it.
 
     ``kept`` is null, and ``ties`` 0, where more than ``cap`` vertices are involved:
-    those aren't enumerated.
+    those aren't enumerated (10 vertices have 115,975 partitions, 12 over 4 million).
     """
     m = g.volume
     rows = region_rows(g, blocks.select("block_id", "u").distinct(), "block_id")
 
-    def kernel(region: Rows, degree: dict[int, int], pdf: pd.DataFrame) -> list[tuple]:
-        active, value, whole = exact.subinstance(region, degree, m, sorted(region), Fraction(1))
+    def kernel(block: Region, pdf: pd.DataFrame) -> list[tuple]:
+        near, degree = block.as_rows()
+        active, value, whole = exact.subinstance(near, degree, m, sorted(near), Fraction(1))
         if len(active) > cap:
-            return [(len(region), len(active), None, 0)]
+            return [(len(near), len(active), None, 0)]
         best, ties, _ = exact.best_partition(len(active), value)
-        return [(len(region), len(active), whole == best, ties)]
+        return [(len(near), len(active), whole == best, ties)]
 
-    return per_region(rows, "block_id", "size int, active int, kept boolean, ties int", kernel, None, 10**9)
+    return per_region(rows, "block_id", "size int, active int, kept boolean, ties int", kernel, None, instead=[F.lit(None), F.lit(None), F.lit(None), F.lit(0)])
 
 
-def groupings(g: Graph, parts: DataFrame, seed: int = 0) -> DataFrame:
-    """(part, u, l): local-move partitions of the subgraphs induced by disjoint parts (part, u)."""
+def groupings(g: Graph, parts: DataFrame, seed: int = 0, limit: int = LIMIT) -> DataFrame:
+    """(part, u, l): local-move partitions of the subgraphs induced by disjoint parts (part, u).
+
+    A part of more than ``limit`` inner edges gives one row of null u and l.
+    """
     inside = parts.select("part", F.col("u").alias("v"))
     rows = region_rows(g, parts, "part").join(inside, ["part", "v"], "left_semi").select("part", "u", "v", "w", "du", "dv")
     alone = parts.join(g.degrees.withColumnRenamed("d", "du"), "u").select("part", "u", F.lit(None).cast("long").alias("v"), F.lit(None).cast("long").alias("w"), "du", F.lit(None).cast("long").alias("dv"))
 
-    def kernel(region: Rows, degree: dict[int, int], pdf: pd.DataFrame) -> list[tuple]:
-        inner = {u: r for u, r in region.items()}
-        return sorted(grouping.louvain(inner, seed=seed).items())
+    def kernel(region: Region, pdf: pd.DataFrame) -> list[tuple]:
+        return sorted(grouping.louvain(region.as_rows()[0], seed=seed).items())
 
-    return per_region(rows.unionByName(alone), "part", "u long, l long", kernel, None, 10**7)
+    return per_region(rows.unionByName(alone), "part", "u long, l long", kernel, None, limit, [F.lit(None), F.lit(None)])
 
 
 def bootstrap(values: DataFrame, panel: str, group: str, value: str, replicates: int = 2000, seed: int = 20261005) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meshwright.functions.diffuse import VARIANTS
 from meshwright.operators import metrics, regions, reports
 from meshwright.operators.graph import fingerprint, g_geo, g_supp
 from meshwright.plans.graphs import GEO, brands
@@ -29,9 +30,9 @@ def query(sql: str | None = None):
 
 
 def _supplier_queries(spark, d):
-    """Every supplier of the graph is a seed."""
+    """A search's queries: the suppliers whose id is divisible by 100 against the whole graph."""
     g = g_supp(spark, d)
-    return g, g.degrees.select(F.col("u").alias("query_id"), F.col("u").alias("seed"))
+    return g, g.degrees.where("u % 100 = 0").select(F.col("u").alias("query_id"), F.col("u").alias("seed"))
 
 
 def _blocks(spark, d):
@@ -48,24 +49,20 @@ def _nation_queries(spark, d):
 @query()
 def retrieve_seed(spark, d):
     """Communities around every nation of the geographic forest, with lower bounds."""
-    g, q = _nation_queries(spark, d)
-    return regions.retrieve(g, q, hops=3)
+    return regions.retrieve(*_nation_queries(spark, d))
 
 
 @query()
 def retrieve_supp(spark, d):
-    """Communities around every supplier in the supplier graph, which has cycles."""
+    """Communities around the query suppliers in the supplier graph, which has cycles."""
     return regions.retrieve(*_supplier_queries(spark, d))
 
 
 @query()
 def retrieve_variants(spark, d):
-    g, q = _nation_queries(spark, d)
-    out = None
-    for name in ("no_refinement", "same_region", "hull_best", "phi_sweep"):
-        r = regions.retrieve(g, q, 3, name).select("query_id", F.lit(name).alias("variant"), "status", "size", "z", "lower_bound")
-        out = r if out is None else out.unionByName(r)
-    return out
+    """Every named variant of the retrieval around each nation."""
+    found = regions.retrieve(*_nation_queries(spark, d), variants=list(VARIANTS))
+    return found.select("query_id", "variant", "status", "size", "z", "lower_bound")
 
 
 @query()
@@ -84,11 +81,9 @@ def acl_local_check(spark, d):
     return r.groupBy("query_id").agg((F.abs(F.sum(F.col("rank") + F.col("residual")) - 1) < 1e-9).alias("kept"), F.every(limit).alias("settled"))
 
 
-@query("SELECT n_nationkey + 2000000000000 AS query_id, true AS same_z, true AS bounded, true AS seeded FROM nation")
-def retrieve_check(spark, d):
+def _checked(g, q):
     """Each retrieved set's quality recomputed by joins, its bound and its seed."""
-    g, q = _nation_queries(spark, d)
-    r = materialize(regions.retrieve(g, q, 3), "found")
+    r = materialize(regions.retrieve(g, q), "found")
     s = metrics.set_stats(g, r.select(F.col("query_id").alias("set_id"), F.explode("vertices").alias("u")))
     z = (F.col("z_num") / F.col("z_den")).alias("z2")
     j = r.join(s.select(F.col("set_id").alias("query_id"), z), "query_id", "left")
@@ -96,6 +91,17 @@ def retrieve_check(spark, d):
     return j.select("query_id", F.coalesce(F.abs(F.col("z") - F.col("z2")) < 1e-9, no).alias("same_z"), F.coalesce(F.col("lower_bound") <= F.col("z") + 1e-9, no).alias("bounded"), F.array_contains("vertices", F.col("seed")).alias("seeded"))
 
 
+@query("SELECT n_nationkey + 2000000000000 AS query_id, true AS same_z, true AS bounded, true AS seeded FROM nation")
+def retrieve_check(spark, d):
+    return _checked(*_nation_queries(spark, d))
+
+
+@query("SELECT DISTINCT l_suppkey AS query_id, true AS same_z, true AS bounded, true AS seeded FROM lineitem WHERE l_suppkey % 100 = 0")
+def retrieve_supp_check(spark, d):
+    """The same on the supplier graph."""
+    return _checked(*_supplier_queries(spark, d))
+
+
 @query()
 def diffusion(spark, d):
     g, q = _nation_queries(spark, d)

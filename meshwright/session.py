@@ -6,6 +6,8 @@ lineage by writing a table into the folder that all executors share.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,18 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is
-    made and registered, so that a cluster never writes to a machine-local path.
+    Only a local master, where one process reads and writes, may leave it unset: it
+    gets a temporary folder that goes with the process. A cluster without the
+    setting is refused, since each executor would write to its own disk.
     """
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
-        where = tempfile.mkdtemp(prefix="meshwright-")
-        sc.setCheckpointDir(where)
-        where = sc.getCheckpointDir() or where
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="meshwright-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        sc.setCheckpointDir(made)
+        where = sc.getCheckpointDir() or made
     return where.rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/meshwright/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -39,6 +49,18 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     executor, and can be read many times without computing ``df`` again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/meshwright/{label}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables this application has written; results not yet read are lost with them.
+
+    Derived graphs are forgotten too and made anew when asked for.
+    """
+    from meshwright.operators.graph import forget
+
+    forget(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwright.functions import cuts, diffuse, exact
+from meshwright.functions.region import Region
 from meshwright.operators import bank, cover, hyper, iterative, jobs, metrics, ordered, regions
 from meshwright.operators.graph import Graph, asymmetries, fingerprint
 from meshwright.sources import generators, graph_files
@@ -86,15 +87,15 @@ def test_sweeps_and_margins(spark, seed):
     x[0] = 2.0
     scores = spark.createDataFrame([(1, u, h) for u, h in x.items()], "query_id int, u long, x double")
     got = ordered.level_sweep(g, scores, spark.createDataFrame([(1, 0)], "query_id int, seed long")).first()
-    s, z = diffuse.sweep(rows, degree, m, x, 0)
+    s, z = diffuse.sweep(Region.of(rows, degree), m, np.array([x[u] for u in sorted(rows)]), 0)
     assert got["size"] == len(s) and Fr(got["z_num"], got["z_den"]) == z
     one = ordered.vertex_sweep(g, scores).first()
-    s, phi = diffuse.sweep(rows, degree, m, x, None, "phi", ties=False)
+    s, phi = diffuse.sweep(Region.of(rows, degree), m, np.array([x[u] for u in sorted(rows)]), None, "phi", ties=False)
     assert one["size"] == len(s) and Fr(one["cut"], one["den"]) == phi
     t = {0, 1, 2}
     for r in bank.truth_margins(g, spark.createDataFrame([("t", u) for u in t], "set_id string, u long")).collect():
         moved = t | {r["u"]} if r["operation"] == "add" else t - {r["u"]}
-        assert Fr(r["z_num"], r["z_den"]) == cuts.quality(rows, degree, m, moved)
+        assert Fr(r["z_num"], r["z_den"]) == cuts.quality(Region.of(rows, degree), m, moved)
     for r in bank.pair_margins(g).collect():
         p, margin = exact.pair_copy(rows, degree, m, r["u"], r["v"], Fr(1))
         assert abs(r["margin"] - float(margin)) < 1e-9 and abs(r["share"] - float(p)) < 1e-9
@@ -109,19 +110,20 @@ def test_surrogate_is_tight(spark):
 
     r = ordered.surrogate(g, q(range(9)), q([0, 1, 2]), spark.createDataFrame([(1, 0)], "query_id int, seed long"), spark.createDataFrame([(1, u, 1.0) for u in range(9)], "query_id int, u long, x double")).collect()
     total = sum(Fr(x["num"], x["den"]) for x in r if x["u"] in (0, 1, 2))
-    assert total + cuts.set_numbers(rows, degree, {0, 1, 2})[1] == 0
+    assert total + Region.of(rows, degree).numbers({0, 1, 2})[1] == 0
 
 
 def test_regions_match_kernels(spark):
     rows, degree, m = graph(2, 10, 0.3)
     g = frame(spark, rows)
     q = spark.createDataFrame([(7, 0)], "query_id int, seed long")
-    got = regions.retrieve(g, q, 9).first()
-    want = diffuse.retrieve(rows, degree, m, 0)
-    assert list(got["vertices"]) == want["vertices"] and abs(got["lower_bound"] - want["lower_bound"]) < 1e-12
-    panel = regions.block_panel(g, spark.createDataFrame([("a", 0), ("a", 1), ("b", 2), *(("c", u) for u in range(10))], "block_id string, u long"), cap=5).collect()
+    got = regions.retrieve(g, q).first()
+    region = Region.of(rows, degree)
+    want = diffuse.retrieve(region, m, 0)
+    assert list(got["vertices"]) == region.ids[want["places"]].tolist() and abs(got["lower_bound"] - want["lower_bound"]) < 1e-12
+    panel = regions.block_panel(g, spark.createDataFrame([("a", 0), ("a", 1), ("b", 2), *(("c", u) for u in range(10))], "block_id string, u long"), limit=12).collect()
     assert {r["status"] for r in panel if r["block_id"] == "b"} == {"too_small"} and {r["status"] for r in panel if r["block_id"] == "c"} == {"size_limit"}
-    assert {(r["method"], r["status"]) for r in panel if r["block_id"] == "a"} == {(k, f(rows, degree, m, [0, 1])) for k, f in regions.CRITERIA.items()}
+    assert {(r["method"], r["status"]) for r in panel if r["block_id"] == "a"} == {(k, f(region.within([0, 1]), m)) for k, f in regions.CRITERIA.items()}
     assert bank.invalid_queries(g, spark.createDataFrame([(1, 0), (2, 99), (3, None)], "query_id int, seed long")).count() == 2
 
 

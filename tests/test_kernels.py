@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 
 from meshwright.functions import cuts, diffuse, exact, field61, grouping
 from meshwright.functions.assign import assign
+from meshwright.functions.region import Region
 
 
 def graph(seed, n=7, p=0.5, w=4):
@@ -36,22 +37,66 @@ def subsets(n, seed):
 @pytest.mark.parametrize("seed", range(8))
 def test_seeded_cut_hull_and_refine(seed):
     rows, degree, m = graph(seed)
+    region = Region.of(rows, degree)
     unary = {u: Fr(random.Random(seed * 9 + u).randint(-6, 4), 3) for u in rows}
-    got, value = cuts.seeded_cut(rows, 0, unary)
-    every = [(cuts.set_numbers(rows, degree, s)[1] + sum(unary[u] for u in s), len(s), s) for s in subsets(7, 0)]
+    got, value = cuts.seeded_cut(region, 0, unary)
+    every = [(region.numbers(s)[1] + sum(unary[u] for u in s), len(s), s) for s in subsets(7, 0)]
     assert value == min(e[0] for e in every)
     least = set.intersection(*(e[2] for e in every if e[0] == value))
     assert got == least
-    points = [(v, c) for v, c, _ in cuts.hull(rows, degree, 0)]
+    h = cuts.hull(region, 0)
+    for k, (v, c) in enumerate(zip(h.vols, h.cuts)):
+        assert region.numbers(h.members(k)) == (v, c)
     for s in subsets(7, 0):
-        v, c = cuts.set_numbers(rows, degree, s)
-        for (v0, c0), (v1, c1) in zip(points, points[1:]):
+        v, c = region.numbers(s)
+        for (v0, c0), (v1, c1) in zip(zip(h.vols, h.cuts), zip(h.vols[1:], h.cuts[1:])):
             if v0 <= v <= v1:
                 assert c >= c0 + Fr((c1 - c0) * (v - v0), v1 - v0)
-    bound, best, _ = cuts.regional_bound(rows, degree, m, 0)
-    assert bound <= float(min(cuts.quality(rows, degree, m, s) for s in subsets(7, 0))) + 1e-12
-    s, _ = cuts.refine(rows, degree, m, 0, {0}, {})
-    assert cuts.quality(rows, degree, m, s) <= cuts.quality(rows, degree, m, {0})
+    bound, best, _ = cuts.regional_bound(region, m, 0)
+    optimum = min(cuts.quality(region, m, s) for s in subsets(7, 0))
+    assert Fr(bound) <= optimum
+    s, _ = cuts.refine(region, m, 0, {0})
+    assert cuts.quality(region, m, s) <= cuts.quality(region, m, {0})
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_hull_of_a_part_of_a_graph(seed):
+    """A region with a rim: its edges to the rim always count."""
+    rows, degree, m = graph(seed + 70, 9, 0.45, 6)
+    region = Region.of(rows, degree).within(range(6))
+    assert region.n == 6 and region.ids.tolist() == list(range(6))
+    h = cuts.hull(region, 2)
+    points = list(zip(h.vols, h.cuts))
+    slopes = [Fr(c1 - c0, v1 - v0) for (v0, c0), (v1, c1) in zip(points, points[1:])]
+    assert slopes == sorted(set(slopes))
+    every = [region.numbers(s) for s in subsets(6, 2)]
+    assert set(points) <= set(every)
+    for s in subsets(6, 2):
+        v, c = sum(degree[u] for u in s), sum(w for u in s for x, w in rows[u].items() if x not in s)
+        assert region.numbers(s) == (v, c)
+        for (v0, c0), (v1, c1) in zip(points, points[1:]):
+            assert not v0 <= v <= v1 or c >= c0 + Fr((c1 - c0) * (v - v0), v1 - v0)
+
+
+def test_larger_cuts_settle_the_same():
+    """Peeling and flow against a flow over everything."""
+    rng = random.Random(5)
+    for seed in range(6):
+        rows, degree, _ = graph(seed + 90, 40, 0.12, 9)
+        region = Region.of(rows, degree)
+        c = cuts.Cutter(region)
+        cost = {u: rng.randint(-30, 30) for u in range(40)}
+        got = c.least(cost, 3)
+        f = cuts.Flow(42)
+        for u, x in cost.items():
+            f.arc(40, u, max(0, -x))
+            f.arc(u, 41, max(0, x))
+        for u in rows:
+            for v, w in rows[u].items():
+                if u < v:
+                    f.arc(u, v, 3 * w, 3 * w)
+        f.run(40, 41)
+        assert got == f.side(40) - {40}
 
 
 @pytest.mark.parametrize("kind", ["all_or_nothing", "cardinality_min"])
@@ -75,9 +120,10 @@ def test_hyper_seeded_cut(seed, kind):
 
 @pytest.mark.parametrize("seed", range(6))
 def test_global_cut(seed):
-    rows, degree, _ = graph(seed, 6)
+    rows, _, _ = graph(seed, 6)
     got = cuts.global_cut(6, {(u, v): w for u in rows for v, w in rows[u].items() if u < v})
-    assert got == min(cuts.set_numbers(rows, degree, s)[1] for s in subsets(6, 0) if len(s) < 6)
+    region = Region.of(rows, {u: sum(r.values()) for u, r in rows.items()})
+    assert got == min(region.numbers(s)[1] for s in subsets(6, 0) if len(s) < 6)
 
 
 @pytest.mark.parametrize("seed", range(30))
@@ -91,7 +137,8 @@ def test_certificates_keep_an_optimum(seed):
 
     for k in (2, 3):
         for block in map(list, combinations(range(6), k)):
-            for status in (exact.block_certificate(rows, degree, m, block, Fr(1)), exact.contrast_certificate(rows, degree, m, block, Fr(1)), exact.almost_clique(rows, degree, m, block, 1, 1)[0], exact.closure_block(rows, degree, m, block, 1, 1)[0]):
+            b = Region.of(rows, degree).within(block)
+            for status in (exact.block_certificate(b, m, Fr(1)), exact.contrast_certificate(b, m, Fr(1)), exact.almost_clique(b, m, 1, 1)[0], exact.closure_block(b, m, 1, 1)[0]):
                 if status.startswith("verified"):
                     assert merged(block) == best, (block, status)
     for u, v in value:
@@ -107,8 +154,8 @@ def test_known_matrices():
     kinds = [exact.definiteness([[Fr(x) for x in r] for r in m]) for m in ([[1, 1], [1, 1]], [[0, 0], [0, 1]], [[2, 1], [1, 2]], [[0, 1], [1, 0]], [[1, 2], [2, 1]])]
     assert kinds == ["semidefinite", "semidefinite", "definite", "indefinite", "indefinite"]
     rows, degree = {0: {1: 1}, 1: {0: 1}}, {0: 1, 1: 1}
-    assert [exact.block_certificate(rows, degree, 2, [0, 1], Fr(g, 2)) for g in (3, 4, 5)] == ["verified_positive_definite", "verified_positive_semidefinite", "failed_exact_psd"]
-    assert exact.block_certificate({0: {}, 1: {2: 1}, 2: {1: 1}}, {0: 0, 1: 1, 2: 1}, 2, [0, 1], Fr(1)) == "zero_degree_excluded"
+    assert [exact.block_certificate(Region.of(rows, degree), 2, Fr(g, 2)) for g in (3, 4, 5)] == ["verified_positive_definite", "verified_positive_semidefinite", "failed_exact_psd"]
+    assert exact.block_certificate(Region.of({0: {}, 1: {2: 1}, 2: {1: 1}}, {0: 0, 1: 1, 2: 1}).within([0, 1]), 2, Fr(1)) == "zero_degree_excluded"
     assert exact.padded_median([Fr(1, 2)], 2) == Fr(1, 4) and exact.padded_median([Fr(1)], 3) == 0
     assert len(list(exact.partitions(5))) == 52
 
@@ -116,27 +163,108 @@ def test_known_matrices():
 @pytest.mark.parametrize("seed", range(5))
 def test_diffusion_push_and_retrieval(seed):
     rows, degree, m = graph(seed, 9, 0.4)
+    region = Region.of(rows, degree)
     mass = 4.0 * degree[0]
-    x, settled = diffuse.diffuse(rows, degree, 0, mass)
-    assert settled and diffuse.residual(rows, degree, x, 0, mass) < 1e-8
-    y = diffuse.active_set(rows, degree, 0, mass)
-    assert all(abs(x.get(u, 0) - y.get(u, 0)) < 1e-6 for u in rows)
-    first = diffuse.activation_mass(rows, degree, 0)
-    assert len(diffuse.diffuse(rows, degree, 0, first * 0.999)[0]) == 1 and len(diffuse.diffuse(rows, degree, 0, first * 1.01)[0]) > 1
-    rank, rest = diffuse.push(rows, degree, 0, 0.15, 1e-4)
-    assert abs(sum(rank.values()) + sum(rest.values()) - 1) < 1e-9 and all(r <= 1e-4 * degree[u] + 1e-15 for u, r in rest.items())
+    x, settled = diffuse.diffuse(region, 0, mass)
+    assert settled and diffuse.residual(region, x, 0, mass) < 1e-8
+    assert np.allclose(x, diffuse.settle(region, 0, mass), atol=1e-7)
+    first = diffuse.activation_mass(region, 0)
+    assert (diffuse.diffuse(region, 0, first * 0.999)[0] > 0).sum() == 1 and (diffuse.diffuse(region, 0, first * 1.01)[0] > 0).sum() > 1
+    rank, rest = diffuse.push(region, 0, 0.15, 1e-4)
+    assert abs(rank.sum() + rest.sum() - 1) < 1e-9 and all(r <= 1e-4 * degree[u] + 1e-15 for u, r in enumerate(rest))
     for name, how in diffuse.VARIANTS.items():
-        r = diffuse.retrieve(rows, degree, m, 0, how)
-        assert 0 in r["vertices"] and r["lower_bound"] <= r["z"] + 1e-9, name
-    s, phi = diffuse.conductance_control(rows, degree, m, 0)
+        r = diffuse.retrieve(region, m, 0, how)
+        assert 0 in r["places"] and r["lower_bound"] <= r["z"], name
+    s, phi = diffuse.conductance_control(region, m, 0)
     assert 0 < len(s) <= 9 and phi > 0
-
-
-def test_sweep_keeps_ties():
-    rows, degree, m = graph(1, 8)
-    x = {u: float(u // 3) for u in rows}
-    s, _ = diffuse.sweep(rows, degree, m, x)
-    assert s in ({6, 7}, {3, 4, 5, 6, 7})
+    small = region.within([0, *list(rows[0])[:1]])
+    x = diffuse.settle(small, 0, 50.0 * degree[0])
+    assert small.n == 2 and diffuse.raised(small, x).any()
+    with pytest.raises(diffuse.RimRaised):
+        diffuse.retrieve(small, 100 * m, 0)
+
+
+def test_large_diffusions_are_settled(monkeypatch):
+    """Conjugate gradients and direct solutions agree, from cold and warm starts."""
+    rows, degree, m = graph(11, 400, 0.02, 3)
+    region = Region.of(rows, degree)
+    for share in (0.1, 0.5, 1.5):
+        x = diffuse.settle(region, 0, share * m)
+        assert diffuse.residual(region, x, 0, share * m) < 1e-8
+        monkeypatch.setattr(diffuse, "DIRECT", 0)
+        y = diffuse.settle(region, 0, share * m)
+        z = diffuse.settle(region, 0, share * m, warm=diffuse.settle(region, 0, share * m / 2))
+        monkeypatch.undo()
+        assert np.allclose(x, y, rtol=1e-7, atol=1e-9) and np.allclose(x, z, rtol=1e-7, atol=1e-9)
+
+
+def test_sweep_is_the_best_prefix():
+    for seed in range(6):
+        rows, degree, m = graph(seed, 8)
+        region = Region.of(rows, degree)
+        rng = random.Random(seed)
+        x = np.array([float(rng.randint(0, 4)) for _ in rows])
+        for ties, seeded in ((True, None), (False, None), (True, 3)):
+            order = sorted((u for u in rows if x[u] > 0), key=lambda u: (-x[u], u))
+            prefixes = [set(order[: i + 1]) for i in range(len(order)) if not ties or i + 1 == len(order) or x[order[i + 1]] < x[order[i]]]
+            prefixes = [s for s in prefixes if seeded is None or seeded in s]
+            got = diffuse.sweep(region, m, x, seeded, ties=ties)
+            if not prefixes:
+                assert got is None
+                continue
+            z = [cuts.quality(region, m, s) for s in prefixes]
+            assert got == (prefixes[z.index(min(z))], min(z))
+
+
+@pytest.mark.parametrize("n", [13, 20, 40])
+def test_definiteness_of_large_matrices(n):
+    """What doubles prove agrees with elimination over whole numbers."""
+    rng = np.random.default_rng(n)
+    a = rng.integers(-9, 10, (n, n))
+    full, thin = a @ a.T + np.eye(n, dtype=np.int64), a[:, : n // 2] @ a[:, : n // 2].T
+    for matrix, kind in ((full, "definite"), (thin, "semidefinite"), (thin - np.diag([0] * (n - 1) + [1]), "indefinite"), (full - 40 * n * np.eye(n, dtype=np.int64), "indefinite")):
+        rows = matrix.tolist()
+        assert exact._eliminated(rows) == kind == exact.definiteness(rows)
+        assert exact.definiteness([[Fr(x, 7) for x in r] for r in rows]) == kind
+    assert exact._judged(full.tolist()) == "definite" and exact._judged((full - 40 * n * np.eye(n, dtype=np.int64)).tolist()) == "indefinite"
+
+
+def test_deviation_is_the_medians():
+    for seed in range(8):
+        rows, degree, _ = graph(seed + 20, 9, 0.5, 5)
+        block = [0, 2, 5, 7][: 3 + seed % 2]
+        region = Region.of(rows, degree).within(block)
+        delta, unit = exact.deviation(region)
+        out = [v for v in rows if v not in block]
+        centre = {v: exact.padded_median([Fr(rows[u][v], degree[u]) for u in block if v in rows[u]], len(block)) for v in out}
+        want = [sum(abs(Fr(rows[u].get(v, 0), degree[u]) - centre[v]) for v in out) for u in block]
+        assert [Fr(x, unit) for x in delta] == want
+
+
+def test_least_mixture():
+    rng = random.Random(3)
+    for _ in range(40):
+        pulls = [(rng.randint(-9, 9), rng.randint(-9, 9)) for _ in range(rng.randint(1, 6))]
+        p, loss = exact.least_mixture(pulls)
+
+        def cost(x):
+            return sum(abs(x * (a + b) - a) for a, b in pulls)
+
+        candidates = {Fr(0), Fr(1), *(Fr(a, a + b) for a, b in pulls if a + b and 0 < Fr(a, a + b) < 1)}
+        best = min(cost(x) for x in candidates)
+        assert loss == best == cost(p) and p == min(x for x in candidates if cost(x) == best)
+
+
+def test_enclosure_needs_no_convexity():
+    points = [(Fr(1), Fr(3)), (Fr(9), Fr(4))]
+    null = [Fr(0), Fr(1, 2), Fr(-3, 10), Fr(1, 20)]
+    status, low, high = exact.enclose(points, null)
+    grid = []
+    for (v0, c0), (v1, c1) in zip(points, points[1:]):
+        grid += [(c0 + (c1 - c0) * (v - v0) / (v1 - v0) + exact.horner(null, v)) / v for v in (v0 + (v1 - v0) * Fr(i, 300) for i in range(301))]
+    assert status == "target_met" and low <= min(grid) and high <= min(grid) + Fr(1, 10**4)
+    assert exact.enclose(points, null, pieces=3)[0] == "budget" and exact.enclose(points, null, pieces=3)[1] <= low
+    assert exact.horner(null, Fr(3)) == exact.bernstein(null, Fr(1), Fr(3))[-1]
 
 
 @given(st.integers(1, 6), st.integers(1, 6), st.integers(0, 10**6))
