@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from meshwright.session import materialize
 
-K = 800
+#: Entries of a sketch's top buffer: far below the counts of a day's group, so that sketches compact.
+K = 200
 GROUP = ["method", "run_date", "metric"]
 
 

@@ -118,6 +118,24 @@ def test_pack_is_valid(spark, part):
     assert {r["container_class"] for r in rows} == {"s", "w"}
 
 
+def test_no_part_grows(spark):
+    """Items that can't be packed to the bound: all stay in parts of bounded size, and the gap is reported."""
+    rng = random.Random(4)
+    n = {i: rng.randint(200, 500) for i in range(9000)}
+    sizes = spark.createDataFrame([*n.items()], "doc_id long, tokens long")
+    boxes = spark.createDataFrame([("u", 1000)], "container_class string, capacity_tokens int")
+    packed = packing.pack(sizes, boxes, 2000)
+    rows = packed.collect()
+    parts, load = {}, {}
+    for r in rows:
+        key = tuple(r["container"].split("/")[1:3])
+        parts[key] = parts.get(key, 0) + 1
+        load[r["container"]] = load.get(r["container"], 0) + r["tokens"]
+    assert len(rows) == 9000 and max(load.values()) <= 1000 and max(parts.values()) <= 2000 and len(parts) > 4
+    r = packing.report(packed, sizes, boxes).first()
+    assert r["containers"] == len(load) and r["gap"] == (len(load) - r["lower_bound"]) / len(load) > 0
+
+
 def test_pack_nothing(spark):
     boxes = spark.createDataFrame([("s", 100)], "container_class string, capacity_tokens int")
     assert packing.pack(spark.createDataFrame([], "doc_id long, tokens long"), boxes).count() == 0
