@@ -73,7 +73,7 @@ def test_references(spark):
 
 
 def test_normal_form_undoes_disguises():
-    for shown, plain in (("h4ng y0ur53lf", "hang yourself"), ("ｇａｒｂａｇｅ", "garbage"), ("b.a.s.t.a.r.d", "bastard"), ("wіре оut", "wipe out"), ("disgusti​ng", "disgusting"), ("STUUUUPID", "stupid"), ("u12: f*** you", "f* you"), ("v7006 and s73", "and")):
+    for shown, plain in (("h4ng y0ur53lf", "hang yourself"), ("ｇａｒｂａｇｅ", "garbage"), ("b.a.s.t.a.r.d", "bastard"), ("wіре оut", "wipe out"), ("disgusti​ng", "disgusting"), ("STUUUUPID", "stupid"), ("> f*** you", "f* you"), ("v7006 and s73", "and"), ("you/idiot", "you idiot"), ("at src/a/b.py now", "at now"), ("去/死吧 了", "去 死吧 了"), ("[scum] go", "scum go")):
         assert content.normal(shown) == plain
     assert content.passages(None) == content.passages(" \n\t") == content.passages("") == []
     long = content.passages("word " * 4000)
@@ -126,5 +126,53 @@ def test_non_negative_risk_learns_from_positives_and_unlabelled():
     pos, neg = ["you are a moron", "you stupid moron", "moron you are"], ["the graph is large", "the cover is done", "graph cover large"]
     p, u = content._Bag(pos), content._Bag(neg * 3 + pos[:1])
     w, b = content.non_negative_pu(p, np.full(3, 1 / 3), u, np.full(10, 0.1), 0.1)
-    m = content.Model(w, b, 0.0, 0.1)
+    m = content.Model(w, b, 0.1, np.zeros(0), np.zeros(0))
     assert m.score(["stupid moron you"])[0] > 0 > m.score(["the large graph"])[0]
+
+
+def test_short_passages_are_kept():
+    assert content.passages("你好。去死。") == ["你好", "去死"] and content.passages("傻逼") == ["傻逼"] and content.passages("fu") == ["fu"]
+    assert content.passages("x. y. z.") == ["x", "y", "z"]
+
+
+def accuracy(docs, labels, test):
+    """(precision, recall) on ``test`` (text, truth) of a model fitted to (text) and (text) lists."""
+    m = content.fit(labels, docs)
+    s = np.array([m.document(t)[0] for t, _ in test])
+    found = s > content.threshold(m.confirmed, m.others, content.cells(np.concatenate([m.others, s])))
+    y = np.array([y for _, y in test])
+    return (found & y).sum() / max(found.sum(), 1), (found & y).sum() / y.sum()
+
+
+def test_many_bad_passages():
+    """A third of all documents are cases, over 5 % of passages: the estimated share isn't held down."""
+    train, test = corpus(3, 1600, 0.35), corpus(4, 800, 0.35)
+    known = [t for t, y in train[:800] if y]
+    precision, recall = accuracy([t for t, _ in train[800:]], known, test)
+    assert precision > 0.9 and recall > 0.9
+    assert content.fit(known, [t for t, _ in train[800:]]).prior > 0.02
+
+
+def test_copied_cases_are_found():
+    """A third of all documents are copies of one abusive text: it is confirmed, and all its copies are found."""
+    train, test = corpus(5, 1200, 0.1), corpus(6, 600, 0.1)
+    copy = ("the sweep took 3 s\nyou are a worthless moron and should vanish", True)
+    train, test = train + [copy] * 600, test + [copy] * 300
+    random.Random(1).shuffle(train)
+    known = [t for t, y in train[:900] if y]
+    precision, recall = accuracy([t for t, _ in train[900:]], known, test)
+    assert precision > 0.9 and recall > 0.95
+
+
+def test_share_of_a_mixture():
+    rng = np.random.default_rng(0)
+    for share in (0.01, 0.1, 0.4):
+        u = np.concatenate([rng.normal(3, 1, int(20_000 * share)), rng.normal(-3, 1, int(20_000 * (1 - share)))])
+        assert 0.6 * share < content.mixture_share(rng.normal(3, 1, 2000), u) < 1.3 * share
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * 100 if i else "y" * 5000) for i in range(50)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, "abuse") for i in range(20)], "doc_id long, category string")
+    known, others = content.training_sample(docs, lab, most=1000)
+    assert len(known) == len(others) == 10 and "0" not in known
