@@ -31,9 +31,10 @@ def _locate(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def _open(uri: str) -> pq.ParquetFile:
+def open_parquet(uri: str, dictionaries: list[str] | None = None) -> pq.ParquetFile:
+    """A Parquet file by its address; ``dictionaries`` are columns to be read as dictionary and codes."""
     fs, path = _locate(uri)
-    return pq.ParquetFile(fs.open_input_file(path))
+    return pq.ParquetFile(fs.open_input_file(path), read_dictionary=dictionaries or None)
 
 
 def _text(value: object) -> str | None:
@@ -52,7 +53,7 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for uri in pdf["path"]:
-            with _open(uri) as f:
+            with open_parquet(uri) as f:
                 meta = f.metadata
                 for g in range(meta.num_row_groups):
                     group = meta.row_group(g)
@@ -91,8 +92,7 @@ def _dictionaries(column: str):
         for pdf in batches:
             out: set[str] = set()
             for uri in pdf["path"]:
-                fs, path = _locate(uri)
-                with pq.ParquetFile(fs.open_input_file(path), read_dictionary=[column]) as f:
+                with open_parquet(uri, [column]) as f:
                     for g in range(f.metadata.num_row_groups):
                         for part in f.read_row_group(g, columns=[column]).column(0).chunks:
                             out.update(v for v in part.dictionary.to_pylist() if v is not None)
@@ -109,26 +109,3 @@ def dictionary_values(spark: SparkSession, path: str, column: str) -> DataFrame:
     to plain pages is encoded when read. Each task hands on each value once.
     """
     return file_list(spark, path).select("path").mapInPandas(_dictionaries(column), "value string").distinct()
-
-
-def single_key_files(chunks: DataFrame, key: str) -> DataFrame:
-    """(file, key value) of the files all of whose rows have one integer ``key``, by exact statistics."""
-    k = chunks.where(F.col("column") == key).groupBy("file").agg(
-        F.min("low_num").alias("low"), F.max("high_num").alias("high"), F.every("exact").alias("exact"), F.sum("nulls").alias("nulls"), F.count("nulls").alias("known"), F.count("*").alias("n")
-    )
-    return k.where(F.col("exact") & (F.col("low") == F.col("high")) & (F.col("nulls") == 0) & (F.col("known") == F.col("n"))).select("file", F.col("low").cast("long").alias(key))
-
-
-def settled(chunks: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, value, n) of the files whose footers alone say what ``column`` holds per ``key``.
-
-    That is so where a file has one key and the column is all null, or has one
-    value by exact extrema. ``value`` is text.
-    """
-    c = chunks.where(F.col("column") == column).groupBy("file").agg(
-        F.sum("num_rows").alias("rows"), F.sum("nulls").alias("nulls"), F.count("nulls").alias("known"), F.count("*").alias("n"),
-        F.min("low").alias("low"), F.max("high").alias("high"), F.min("low_num").alias("a"), F.max("high_num").alias("b"), F.every(F.col("exact") | (F.col("nulls") == F.col("num_rows"))).alias("exact"),
-    )
-    whole = (F.col("known") == F.col("n")) & ((F.col("nulls") == F.col("rows")) | (F.col("exact") & (F.col("a") == F.col("b"))))
-    c = c.where(whole).join(single_key_files(chunks, key), "file")
-    return c.select("file", key, "nulls", (F.col("rows") - F.col("nulls")).alias("n"), F.when(F.col("nulls") < F.col("rows"), F.col("a")).alias("value"))

@@ -1,9 +1,9 @@
 """Column-level quality of a table that arrives in loads.
 
-Footers settle what they can (see ``footers``); the other files are scanned once,
-into a histogram per load and column that combines on the map side. Invalid
-shares, null shares, distinct counts and the greatest distance between the value
-distributions of two loads all come from that histogram.
+Row groups are profiled one a task: footers settle what they can, dictionaries give
+the distinct texts, and only the other column chunks are scanned (see ``chunks``). A
+first pass gives exact nulls and invalid values, bounds on distinct counts and coarse
+histograms; loads that those leave open are counted value by value in a second one.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import AtomicType, BooleanType, DatetimeType, DecimalType, DoubleType, FloatType, LongType, NumericType, StructType
+from pyspark.sql.types import AtomicType, BooleanType, DatetimeType, DecimalType, DoubleType, FloatType, IntegralType, LongType, NumericType, StructType
 
-from meshwright.operators.footers import chunk_statistics, dictionary_values, settled
+from meshwright.operators import chunks
+from meshwright.operators.footers import chunk_statistics, dictionary_values
 from meshwright.session import materialize
 
 
@@ -87,33 +88,38 @@ def _unpivot(df: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
     return df.select(key, F.explode(F.array(*cells)).alias("c")).select(key, "c.*")
 
 
-def histogram(spark: SparkSession, path: str, key: str, rules: list[Rule]) -> DataFrame:
+def _columns(rules: list[Rule]) -> list[chunks.Column]:
+    return [chunks.Column(r.column, r.numeric, r.low, r.high, frozenset(r.vocabulary)) for r in rules]
+
+
+def _by_chunks(table: DataFrame, key: str, rules: list[Rule]) -> tuple[list[Rule], list[Rule]]:
+    """The rules whose columns are profiled by row groups, and the others, which Spark scans."""
+    if not isinstance(table.schema[key].dataType, IntegralType):
+        return [], rules
+    own = [r for r in rules if chunks.readable(table.schema[r.column].dataType)]
+    return own, [r for r in rules if r not in own]
+
+
+def _named(rows: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
+    """Column numbers become names."""
+    return rows.withColumnRenamed("key", key).withColumn("column", F.element_at(F.array(*(F.lit(r.column) for r in rules)), F.col("at") + 1)).drop("at")
+
+
+def histogram(spark: SparkSession, path: str, key: str, rules: list[Rule], keep: list[int] | None = None) -> DataFrame:
     """(key, column, number, text, n): how often each value occurs per key; null cells have both null.
 
-    Files whose footers settle all columns are not scanned. Rows with a null key
-    belong to no load and are left out. NaN is one value.
+    Rows with a null key belong to no load and are left out, as are keys not in
+    ``keep``, if given. NaN is one value. Chunks that footers settle are not read.
     """
-    chunks = materialize(chunk_statistics(spark, path), "chunks")
-    known = [settled(chunks, key, r.column).withColumn("column", F.lit(r.column)) for r in rules]
-    known_cells = reduce(DataFrame.unionByName, known)
-    done = [x["file"] for x in known_cells.groupBy("file").agg(F.count_distinct("column").alias("k")).where(F.col("k") == len(rules)).select("file").collect()]
     table = spark.read.parquet(path)
-    if done:
-        # paths only: as many as a scan's planning holds anyway
-        rest = [f for f in table.inputFiles() if _bare(f) not in {_bare(x) for x in done}]
-        table = spark.read.schema(table.schema).parquet(*rest) if rest else table.where(F.lit(False))
-    counted = _unpivot(table.where(F.col(key).isNotNull()), key, rules).groupBy(key, "column", "number", "text").agg(F.count("*").alias("n"))
-    if not done:
-        return counted
-    keep = spark.createDataFrame([(x,) for x in done], "file string")
-    cells = known_cells.join(keep, "file", "left_semi")
-    values = cells.where(F.col("n") > 0).select(key, "column", F.col("value").alias("number"), F.lit(None).cast("string").alias("text"), "n")
-    nulls = cells.where(F.col("nulls") > 0).select(key, "column", F.lit(None).cast("double").alias("number"), F.lit(None).cast("string").alias("text"), F.col("nulls").alias("n"))
-    return counted.unionByName(values).unionByName(nulls).groupBy(key, "column", "number", "text").agg(F.sum("n").alias("n"))
-
-
-def _bare(uri: str) -> str:
-    return "/" + uri.split(":", 1)[1].lstrip("/") if ":" in uri.split("/", 1)[0] else uri
+    own, rest = _by_chunks(table, key, rules)
+    parts = []
+    if own:
+        parts.append(_named(chunks.exact(spark, path, key, _columns(own), keep), key, own).select(key, "column", "number", "text", "n"))
+    if rest:
+        rows = table.where(F.col(key).isNotNull() if keep is None else F.col(key).isin(keep))
+        parts.append(_unpivot(rows, key, rest).groupBy(key, "column", "number", "text").agg(F.count("*").alias("n")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def load_statistics(cells: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
@@ -154,36 +160,47 @@ def _pairs(cells: DataFrame, key: str, sizes: DataFrame, by: list[str]) -> DataF
     return own.unionByName(before).groupBy("load", "column", *by).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def greatest_gap(cells: DataFrame, key: str, sizes: DataFrame, limit: float) -> DataFrame:
-    """(load, column) of the pairs whose shares of values <= x differ by more than ``limit`` at some x.
+def _gap(a: str, b: str) -> Column:
+    return F.abs(_wide(a).cast("decimal(38,0)") * _wide("nb") - _wide(b).cast("decimal(38,0)") * _wide("na")).cast("decimal(38,0)")
 
-    Two levels keep any one task small, however large a load is: counts per bucket
-    of the number line give the gap at every bucket's end, and a bound on it inside;
-    only values of buckets that could exceed the limit inside are then looked at.
+
+def _most(limit: float) -> Column:
+    return (F.lit(limit).cast("decimal(6,4)") * (_wide("na") * _wide("nb")).cast("decimal(32,0)")).cast("decimal(38,4)")
+
+
+def bucket_gaps(counts: DataFrame, key: str, sizes: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
+    """What counts (key, column, bucket, n) say about the gap between two loads' shares of values <= x.
+
+    First (load, column) of the pairs whose shares differ by more than ``limit`` at
+    some bucket's end. Then (load, column, bucket, na, nb, a0, b0) of the buckets of
+    the others inside which they might, with what both loads have before it.
     """
-    numbers = cells.where(F.col("number").isNotNull() & ~F.isnan("number")).withColumn("bucket", order_bucket(F.col("number")))
     sizes = sizes.where((F.col("na") > 0) & (F.col("nb") > 0))
-    level = _pairs(numbers.groupBy(key, "column", "bucket").agg(F.sum("n").alias("n")), key, sizes, ["bucket"]).join(sizes.drop("prior"), ["load", "column"])
+    level = _pairs(counts, key, sizes, ["bucket"]).join(sizes.drop("prior"), ["load", "column"])
     w = Window.partitionBy("load", "column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    level = level.withColumn("ca", F.sum("a").over(w)).withColumn("cb", F.sum("b").over(w))
-    exact = F.lit(limit).cast("decimal(6,4)")
-
-    def gap(a: str, b: str) -> Column:
-        return F.abs(_wide(a).cast("decimal(38,0)") * _wide("nb") - _wide(b).cast("decimal(38,0)") * _wide("na")).cast("decimal(38,0)")
-
-    most = (exact * (_wide("na") * _wide("nb")).cast("decimal(32,0)")).cast("decimal(38,4)")
-    level = level.withColumn("over", gap("ca", "cb") > most)
+    level = level.withColumn("ca", F.sum("a").over(w)).withColumn("cb", F.sum("b").over(w)).withColumn("over", _gap("ca", "cb") > _most(limit))
     # a slack far above rounding error keeps the bound safe
     start = F.abs((F.col("ca") - F.col("a")) / F.col("na") - (F.col("cb") - F.col("b")) / F.col("nb"))
     level = level.withColumn("open", start + F.greatest(F.col("a") / F.col("na"), F.col("b") / F.col("nb")) > limit - 1e-9)
     level = materialize(level.where(F.col("over") | F.col("open")), "gaps")
     sure = level.where("over").select("load", "column").distinct()
     inside = level.where("open").join(sure, ["load", "column"], "left_anti")
-    inside = inside.select("load", "column", "bucket", "na", "nb", (F.col("ca") - F.col("a")).alias("a0"), (F.col("cb") - F.col("b")).alias("b0"))
+    return sure, inside.select("load", "column", "bucket", "na", "nb", (F.col("ca") - F.col("a")).alias("a0"), (F.col("cb") - F.col("b")).alias("b0"))
+
+
+def greatest_gap(cells: DataFrame, key: str, sizes: DataFrame, limit: float) -> DataFrame:
+    """(load, column) of the pairs whose shares of values <= x differ by more than ``limit`` at some x.
+
+    Two levels keep any one task small, however large a load is: counts per bucket
+    of the number line give the gap at every bucket's end, and a bound on it inside;
+    only values of buckets that could exceed the limit inside are then looked at.
+    """
+    numbers = cells.where(F.col("number").isNotNull() & ~F.isnan("number")).withColumn("bucket", order_bucket(F.col("number")))
+    sure, inside = bucket_gaps(numbers.groupBy(key, "column", "bucket").agg(F.sum("n").alias("n")), key, sizes, limit)
     some = sizes.join(inside.select("load", "column").distinct(), ["load", "column"], "left_semi")
     fine = _pairs(numbers.select(key, "column", "bucket", "number", "n"), key, some, ["bucket", "number"]).join(inside, ["load", "column", "bucket"])
     v = Window.partitionBy("load", "column", "bucket").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    fine = fine.withColumn("ca", F.col("a0") + F.sum("a").over(v)).withColumn("cb", F.col("b0") + F.sum("b").over(v)).where(gap("ca", "cb") > most)
+    fine = fine.withColumn("ca", F.col("a0") + F.sum("a").over(v)).withColumn("cb", F.col("b0") + F.sum("b").over(v)).where(_gap("ca", "cb") > _most(limit))
     return sure.unionByName(fine.select("load", "column")).distinct()
 
 
@@ -210,13 +227,72 @@ def findings(
     the two has no values, only ``nulls`` and ``distinct`` are compared. A load
     listed twice counts once.
     """
-    cells = materialize(histogram(spark, path, key, rules), "cells")
-    stats = materialize(load_statistics(cells, key, rules), "loads")
-    chain = loads.where(F.col(prior).isNotNull()).select(F.col(key).alias("load"), F.col(prior).alias("prior")).distinct()
+    table = spark.read.parquet(path)
+    own, rest = _by_chunks(table, key, rules)
+    numeric = [r.column for r in rules if r.numeric]
+    text = [r.column for r in rules if not r.numeric]
+    chain = loads.where(F.col(prior).isNotNull()).select(F.col(key).cast("long").alias("load"), F.col(prior).cast("long").alias("prior")).distinct()
+    parts: list[DataFrame] = []
+    if rest:
+        # columns of other types: value by value
+        cells = materialize(histogram(spark, path, key, rest), "cells")
+        stats = load_statistics(cells, key, rest).withColumn("lo", F.col("distinct")).withColumn("hi", F.col("distinct"))
+        stats = materialize(stats.select(key, "column", "total", "nulls", "values", "proper", "invalid", "lo", "hi"), "loads")
+        both, found = _compared(stats, chain, key, invalid, nulls, distinct)
+        sizes = _sizes(both)
+        parts += [found, greatest_gap(cells, key, sizes.where(F.col("column").isin(numeric)), values).withColumn("finding", F.lit("values"))]
+        parts.append(category_gap(cells, key, sizes.where(F.col("column").isin(text)), values).withColumn("finding", F.lit("values")))
+    if own:
+        seen = materialize(_named(chunks.bounds(spark, path, key, _columns(own)), key, own), "bounds")
+        # texts are counted one by one already, so their distinct values are known
+        words = seen.where(F.col("text").isNotNull()).groupBy(key, "column").agg(F.count("*").alias("k"))
+        total = seen.where(F.col("bucket").isNull() & F.col("text").isNull()).join(words, [key, "column"], "left")
+        stats = total.select(
+            key, "column", F.col("n").alias("total"), "nulls", (F.col("n") - F.col("nulls")).alias("values"), (F.col("n") - F.col("nulls") - F.col("nan")).alias("proper"), "invalid",
+            F.coalesce("k", "low").alias("lo"), F.coalesce("k", "high").alias("hi"),
+        )
+        both, found = _compared(materialize(stats, "loads"), chain, key, invalid, nulls, distinct)
+        both = materialize(both, "both")
+        sizes = _sizes(both)
+        parts += [found, category_gap(seen, key, sizes.where(F.col("column").isin(text)), values).withColumn("finding", F.lit("values"))]
+        sure, inside = bucket_gaps(seen.where(F.col("bucket").isNotNull()).select(key, "column", "bucket", "n"), key, sizes.where(F.col("column").isin(numeric)), values)
+        parts.append(sure.withColumn("finding", F.lit("values")))
+        # what the bounds leave open, counted value by value
+        unsure = both.where(~_more("lo", "p_hi", distinct) & ~_more("p_lo", "hi", distinct) & (_more("hi", "p_lo", distinct) | _more("p_hi", "lo", distinct)))
+        asked = unsure.select("load", "column", F.lit("distinct").alias("finding")).unionByName(inside.select("load", "column", F.lit("values").alias("finding")).distinct())
+        asked = materialize(asked.join(sizes, ["load", "column"]), "asked")
+        names = {r["column"] for r in asked.select("column").distinct().collect()}
+        left = [r for r in own if r.column in names]
+        if left:
+            # ids of loads alone, at most two for each load that is open
+            keep = [r["k"] for r in asked.select(F.explode(F.array("load", "prior")).alias("k")).distinct().collect()]
+            cells = materialize(histogram(spark, path, key, left, keep), "cells")
+            count = cells.where(F.col("number").isNotNull() | F.col("text").isNotNull()).groupBy(key, "column").agg(F.count("*").alias("k"))
+            pair = asked.where("finding = 'distinct'").join(count.select(F.col(key).alias("load"), "column", F.col("k").alias("lo")), ["load", "column"], "left")
+            pair = pair.join(count.select(F.col(key).alias("prior"), "column", F.col("k").alias("p_lo")), ["prior", "column"], "left").fillna(0, ["lo", "p_lo"])
+            parts.append(pair.where(_more("lo", "p_lo", distinct) | _more("p_lo", "lo", distinct)).select("load", "column", "finding"))
+            spread = asked.where("finding = 'values'").select("load", "prior", "column", "na", "nb")
+            parts.append(greatest_gap(cells, key, spread, values).withColumn("finding", F.lit("values")))
+    every = reduce(DataFrame.unionByName, parts).distinct()
+    return every.select(F.col("load").alias(key), F.col("column").alias("column_name"), "finding")
+
+
+def _more(a: str, b: str, factor: int) -> Column:
+    return F.col(a) > factor * F.col(b)
+
+
+def _sizes(both: DataFrame) -> DataFrame:
+    return both.select("load", "prior", "column", F.col("proper").alias("na"), F.col("p_proper").alias("nb"))
+
+
+def _compared(stats: DataFrame, chain: DataFrame, key: str, invalid: float, nulls: float, distinct: int) -> tuple[DataFrame, DataFrame]:
+    """Statistics (key, column, ..., lo, hi) next to those of the load before, and the findings that are sure from them.
+
+    ``lo`` and ``hi`` bound the number of distinct values.
+    """
     own = stats.withColumnRenamed(key, "load")
-    was = stats.select(F.col(key).alias("prior"), "column", *(F.col(c).alias(f"p_{c}") for c in ("total", "nulls", "proper", "distinct")))
+    was = stats.select(F.col(key).alias("prior"), "column", *(F.col(c).alias(f"p_{c}") for c in ("total", "nulls", "proper", "lo", "hi")))
     both = own.join(chain, "load").join(was, ["prior", "column"])
-    sizes = both.select("load", "prior", "column", F.col("proper").alias("na"), F.col("p_proper").alias("nb"))
 
     def share(c: float) -> Column:
         return F.lit(c).cast("decimal(6,4)")
@@ -226,13 +302,8 @@ def findings(
 
     bad = own.where(_wide("invalid") > share(invalid) * _wide("values")).select("load", "column", F.lit("invalid").alias("finding"))
     null = both.where(F.abs(wide("nulls", "p_total") - wide("p_nulls", "total")) > share(nulls) * wide("total", "p_total")).select("load", "column", F.lit("nulls").alias("finding"))
-    many = both.where((F.col("distinct") > distinct * F.col("p_distinct")) | (distinct * F.col("distinct") < F.col("p_distinct"))).select("load", "column", F.lit("distinct").alias("finding"))
-    numeric, text = [r.column for r in rules if r.numeric], [r.column for r in rules if not r.numeric]
-    spread = greatest_gap(cells.where(F.col("column").isin(*numeric)), key, sizes.where(F.col("column").isin(*numeric)), values)
-    words = category_gap(cells.where(F.col("column").isin(*text)), key, sizes.where(F.col("column").isin(*text)), values)
-    moved = spread.unionByName(words).withColumn("finding", F.lit("values"))
-    every = reduce(DataFrame.unionByName, [bad, null, many, moved]).distinct()
-    return every.select(F.col("load").alias(key), F.col("column").alias("column_name"), "finding")
+    many = both.where(_more("lo", "p_hi", distinct) | _more("p_lo", "hi", distinct)).select("load", "column", F.lit("distinct").alias("finding"))
+    return both, bad.unionByName(null).unionByName(many)
 
 
 #: The vocabulary of run states.

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from meshwright.operators import footers, profile
+from meshwright.operators import chunks, footers, profile
 
 SCHEMA = "load_id long, status string, onmi double, peak_tree_rss_bytes long, number string, n int"
 GOOD = 2.0**30
@@ -73,16 +73,65 @@ def test_findings(spark, tmp_path, seed):
     assert got == expected(loads, prior)
 
 
-def test_footers_settle_constant_and_null_files(spark, tmp_path):
+class Watched:
+    """A Parquet file that notes which columns of which row group are read."""
+
+    def __init__(self, f):
+        self.f, self.metadata, self.read = f, f.metadata, []
+
+    def iter_batches(self, batch_size, row_groups, columns):
+        self.read.append((row_groups, columns))
+        return self.f.iter_batches(batch_size=batch_size, row_groups=row_groups, columns=columns)
+
+
+def test_settled_chunks_are_not_read(spark, tmp_path):
+    pa, pq = pytest.importorskip("pyarrow"), pytest.importorskip("pyarrow.parquet")
+    t = pa.table(
+        {
+            "load_id": pa.array([5, 5, 6, 6, 7, 8], pa.int64()), "status": pa.array(["A", "B", None, None, "A", "A"]),
+            "onmi": pa.array([None] * 4 + [0.5, 0.5], pa.float64()), "peak": pa.array([9, 9, None, None, 4, 4], pa.int64()),
+        }
+    )
+    pq.write_table(t, str(tmp_path / "t.parquet"), row_group_size=2)
+    cols = [chunks.Column("status", False), chunks.Column("onmi", True), chunks.Column("peak", True, 5, 10)]
+    got = []
+    with footers.open_parquet(f"file:{tmp_path}/t.parquet", ["status"]) as f:
+        w = Watched(f)
+        for g in range(3):
+            for rows in chunks.profile_group(w, g, "load_id", cols, chunks._exact):
+                got += [(int(k), rows["at"], None if rows["number"] is None else rows["number"][i], None if rows["text"] is None else rows["text"][i], int(rows["n"][i])) for i, k in enumerate(rows["key"])]
+        assert w.read == [([0], ["status"]), ([2], ["load_id", "status", "onmi"])]
+        w.read.clear()
+        assert not list(chunks.profile_group(w, 0, "load_id", cols, chunks._exact, np.array([6]))) and not w.read
+    assert sorted(got, key=str) == sorted(
+        [(5, 0, None, "A", 1), (5, 0, None, "B", 1), (5, 1, None, None, 2), (5, 2, 9.0, None, 2), (6, 0, None, None, 2), (6, 1, None, None, 2), (6, 2, None, None, 2),
+         (7, 0, None, "A", 1), (7, 1, 0.5, None, 1), (7, 2, 4.0, None, 1), (8, 0, None, "A", 1), (8, 1, 0.5, None, 1), (8, 2, 4.0, None, 1)], key=str,
+    )
+    b = {(r["key"], r["at"]): (r["n"], r["nulls"], r["invalid"], r["low"], r["high"]) for r in chunks.bounds(spark, str(tmp_path), "load_id", cols).where("bucket IS NULL AND text IS NULL").collect()}
+    assert b[5, 2] == (2, 0, 0, 1, 1) and b[7, 2] == (1, 0, 1, 1, 1) and b[6, 0] == (2, 2, 0, 0, 0) and b[5, 0] == (2, 0, 0, 2, 2)
+
+
+def test_dictionaries_and_footers(spark, tmp_path):
     path = write(spark, tmp_path, {5: [("ERROR", 0.25, 2**31)] * 30, 6: [(None, None, None)] * 20})
-    chunks = footers.chunk_statistics(spark, path)
-    assert {(r["load_id"], r["nulls"], r["n"]) for r in footers.settled(chunks, "load_id", "peak_tree_rss_bytes").collect()} == {(5, 0, 30), (6, 20, 0)}
-    assert {(r["load_id"], r["nulls"]) for r in footers.settled(chunks, "load_id", "onmi").collect()} == {(6, 20)}
     assert [r["value"] for r in footers.dictionary_values(spark, path, "status").collect()] == ["ERROR"]
     p = {r["column_name"]: r for r in profile.column_profile(spark, path).collect()}
     assert p["status"]["nulls"] == 20 and p["load_id"]["n_rows"] == 50
 
 
+def test_large_integers_and_instants_by_chunks(spark, tmp_path):
+    """What tasks count agrees with Spark's own scan, value by value."""
+    from datetime import datetime, timezone
+
+    path = str(tmp_path / "t.parquet")
+    rows = [(i % 3 if i % 7 else None, 2**60 + i % 5, datetime(2020, 1, 1, 0, 0, i, 17, tzinfo=timezone.utc) if i % 4 else None, bool(i % 2), [0.0, -0.0, float("nan"), float("inf"), None][i % 5], f"w{i % 4}") for i in range(40)]
+    spark.createDataFrame(rows, "load_id long, big long, t timestamp, b boolean, f double, s string").repartition(3).write.parquet(path)
+    df = spark.read.parquet(path)
+    rules = profile.every_rule(df.schema, [])
+    want = profile._unpivot(df.where("load_id IS NOT NULL"), "load_id", rules).groupBy("load_id", "column", "number", "text").count().collect()
+    got = profile.histogram(spark, path, "load_id", rules).select("load_id", "column", "number", "text", "n").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want))) and len(got) > 30
+
+
 def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "none.parquet")
     spark.createDataFrame([], SCHEMA).write.parquet(path)
