@@ -23,6 +23,8 @@ from meshwright.operators.footers import file_list, open_parquet
 
 #: Rows of a row group that are held in memory at a time.
 BATCH = 1 << 20
+#: Bytes of Parquet files that a task is to profile.
+TASK_BYTES = 64 << 20
 #: Buckets per unit of ln(1 + |x|) of the bounds' histograms.
 COARSE = 64
 
@@ -243,8 +245,11 @@ def _profile(spark: SparkSession, path: str, key: str, columns: list[Column], sc
                     for rows in profile_group(f, g, key, columns, count, wanted):
                         yield _batch(rows, schema)
 
-    files = file_list(spark, path).select("path")
-    each = files.mapInArrow(groups, "path string, g int").repartition(F.col("path"), F.col("g"))
+    files = file_list(spark, path)
+    size = int(files.agg(F.sum("length")).first()[0] or 0)
+    # a stated number, since rows that only name row groups would be gathered into one task
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    each = files.select("path").mapInArrow(groups, "path string, g int").repartition(tasks, F.col("path"), F.col("g"))
     return each.mapInArrow(run, ", ".join(f"{f.name} {_SQL[f.type]}" for f in schema))
 
 
