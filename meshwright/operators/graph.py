@@ -169,6 +169,23 @@ def g_geo(spark: SparkSession, d: str) -> Graph:
     return held(spark, d, "g_geo", make)
 
 
+#: Weight of the edge between two customers of neighbouring ids in g_pair.
+PAIRED = 50
+
+
+def g_pair(spark: SparkSession, d: str) -> Graph:
+    """Customers 2k and 2k + 1 in close pairs, each customer hung on its nation: pairs of one nation close triangles."""
+
+    def make() -> DataFrame:
+        c = table(spark, d, "customer").where("c_custkey IS NOT NULL").select("c_custkey", "c_nationkey")
+        hung = c.where("c_nationkey IS NOT NULL").select(F.col("c_custkey").alias("u"), (F.col("c_nationkey") + F.lit(NATION)).alias("v"), F.lit(1).cast("bigint").alias("w"))
+        even = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("u"), (F.col("c_custkey") + 1).alias("v"))
+        odd = c.where("c_custkey % 2 = 1").select(F.col("c_custkey").alias("v"))
+        return hung.unionByName(even.join(odd, "v").select("u", "v", F.lit(PAIRED).cast("bigint").alias("w")))
+
+    return held(spark, d, "g_pair", make)
+
+
 def brand_labels(spark: SparkSession, d: str) -> DataFrame:
     """(u, l): the brand of each part."""
     return table(spark, d, "part").select(F.col("p_partkey").alias("u"), F.col("p_brand").alias("l"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.operators import cover, criteria, hyper, iterative, metrics, ordered
-from meshwright.operators.graph import asymmetries, brand_labels, fingerprint, g_geo, g_part, g_supp, rejects
+from meshwright.operators.graph import asymmetries, brand_labels, fingerprint, g_geo, g_pair, g_part, g_supp, rejects
 from meshwright.session import table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,9 @@ GEO = f"""WITH RECURSIVE e AS (
   SELECT c_custkey AS u, 2000000000000 + c_nationkey AS v, CAST(1 AS BIGINT) AS w FROM customer
   UNION ALL SELECT 1000000000000 + s_suppkey, 2000000000000 + s_nationkey, 1 FROM supplier
   UNION ALL SELECT 2000000000000 + n_nationkey, 3000000000000 + n_regionkey, 1 FROM nation), {_REST}"""
+PAIR = f"""WITH RECURSIVE e AS (
+  SELECT c_custkey AS u, 2000000000000 + c_nationkey AS v, CAST(1 AS BIGINT) AS w FROM customer
+  UNION ALL SELECT a.c_custkey, b.c_custkey, 50 FROM customer a JOIN customer b ON a.c_custkey % 2 = 0 AND b.c_custkey = a.c_custkey + 1), {_REST}"""
 HYPER = """WITH op AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS u FROM lineitem),
 rk AS (SELECT e, CAST(count(*) AS BIGINT) AS r FROM op GROUP BY e HAVING count(*) > 1),
 inc AS (SELECT op.e, op.u, rk.r FROM op JOIN rk ON op.e = rk.e),
@@ -249,9 +252,9 @@ SELECT p.u, p.v, CAST(3 * c - a.s - b.s + coalesce(r, 0) AS BIGINT) AS margin, C
 FROM p JOIN ps a ON a.u = p.u JOIN ps b ON b.u = p.v LEFT JOIN wd ON wd.u = p.u AND wd.v = p.v WHERE p.u < p.v AND 3 * c - a.s - b.s + coalesce(r, 0) > 0"""
 
 
-@query(_closure_sql(GEO))
+@query(_closure_sql(PAIR))
 def positive_closure(spark, d):
-    return criteria.positive_closure(g_geo(spark, d))
+    return criteria.positive_closure(g_pair(spark, d))
 
 
 @query(_closure_sql(PART))
@@ -259,28 +262,18 @@ def positive_closure_parts(spark, d):
     return criteria.positive_closure(g_part(spark, d))
 
 
-@query(f"""{GEO}, k AS (SELECT u, count(*) AS k FROM adj GROUP BY u),
+@query(f"""{PAIR}, k AS (SELECT u, count(*) AS k FROM adj GROUP BY u),
 s AS (SELECT e.u, e.v, count(*) AS n FROM e JOIN adj a ON a.u = e.u JOIN adj b ON b.u = e.v AND a.v = b.v JOIN deg x ON x.u = e.u JOIN deg y ON y.u = e.v WHERE y.d * a.w = x.d * b.w GROUP BY e.u, e.v)
 SELECT e.u, e.v, CAST(m * e.w - x.d * y.d AS BIGINT) AS c FROM e JOIN deg x ON x.u = e.u JOIN deg y ON y.u = e.v JOIN k a ON a.u = e.u JOIN k b ON b.u = e.v LEFT JOIN s ON s.u = e.u AND s.v = e.v, tot
 WHERE a.k = b.k AND coalesce(n, 0) = a.k - 1 AND m * e.w - x.d * y.d >= 0""")
 def prop_twins(spark, d):
-    return criteria.proportional_twins(g_geo(spark, d))
-
-
-@query(f"""{PART}, pr AS (SELECT u, v FROM e WHERE u % 50 = 0 AND v % 10 = 0),
-c AS (SELECT pr.u, pr.v, a.v AS x, w AS wa, 0 AS wb FROM pr JOIN adj a ON a.u = pr.u AND a.v <> pr.v UNION ALL SELECT pr.u, pr.v, b.v, 0, w FROM pr JOIN adj b ON b.u = pr.v AND b.v <> pr.u),
-s AS (SELECT u, v, x, sum(wa) AS wa, sum(wb) AS wb FROM c GROUP BY u, v, x)
-SELECT s.u, s.v, CAST(sum(abs(y.d * wa - z.d * wb)) AS BIGINT) AS num, any_value(z.d + y.d) AS den FROM s JOIN deg z ON z.u = s.u JOIN deg y ON y.u = s.v GROUP BY s.u, s.v""")
-def profile_penalties(spark, d):
-    """Distance from proportional neighbourhoods of the candidate pairs (both ends round numbers)."""
-    g = g_part(spark, d)
-    return criteria.profile_penalty(g, g.edges.where("u % 50 = 0 AND v % 10 = 0"))
+    return criteria.proportional_twins(g_pair(spark, d))
 
 
 @query(f"""{PART}, c AS (SELECT e.u, e.v, a.v AS x, a.w AS wa, 0 AS wb FROM e JOIN adj a ON a.u = e.u AND a.v <> e.v UNION ALL SELECT e.u, e.v, b.v, 0, b.w FROM e JOIN adj b ON b.u = e.v AND b.v <> e.u),
 s AS (SELECT u, v, x, sum(wa) AS wa, sum(wb) AS wb FROM c GROUP BY u, v, x), p AS (SELECT s.u, s.v, sum(abs(y.d * wa - z.d * wb)) AS num FROM s JOIN deg z ON z.u = s.u JOIN deg y ON y.u = s.v GROUP BY s.u, s.v)
 SELECT e.u, e.v, CAST(coalesce(num, 0) AS BIGINT) AS num, z.d + y.d AS den FROM e JOIN deg z ON z.u = e.u JOIN deg y ON y.u = e.v LEFT JOIN p ON p.u = e.u AND p.v = e.v""")
-def profile_penalties_all(spark, d):
+def profile_penalties(spark, d):
     """Distance from proportional neighbourhoods of every edge's ends."""
     g = g_part(spark, d)
     return criteria.profile_penalty(g, g.edges)
@@ -357,22 +350,12 @@ def capped_region(spark, d):
     return ordered.capped_region(g_part(spark, d), _scores(spark, d), p, 3, 2)
 
 
-@query(f"""{PART}, {_SCORE}, rg AS (SELECT p_partkey AS u FROM part WHERE p_partkey <= 200), s AS (SELECT p_partkey AS u FROM part WHERE p_partkey <= 60),
-z AS (SELECT CAST(sum(d) AS BIGINT) AS vol FROM s JOIN deg ON deg.u = s.u), i AS (SELECT sum(w) AS inn FROM adj JOIN s a ON a.u = adj.u JOIN s b ON b.u = adj.v),
-o AS (SELECT rg.u, deg.d, sum(deg.d) OVER (ORDER BY CASE WHEN rg.u = 5 THEN 0 WHEN s.u IS NOT NULL THEN 1 ELSE 2 END, coalesce(x, 0) DESC, rg.u ROWS UNBOUNDED PRECEDING) AS c
-  FROM rg JOIN deg ON deg.u = rg.u LEFT JOIN s ON s.u = rg.u LEFT JOIN sc ON sc.u = rg.u AND sc.query_id = 1)
-SELECT 1 AS query_id, o.u, CAST((c * c - (c - d) * (c - d)) * vol - ((vol - inn) * m + vol * vol) * d AS BIGINT) AS num, CAST(m * vol AS BIGINT) AS den FROM o, z, i, tot""")
-def mm_surrogate(spark, d):
-    p = table(spark, d, "part").select(F.lit(1).alias("query_id"), F.col("p_partkey").alias("u"))
-    return ordered.surrogate(g_part(spark, d), p.where("u <= 200"), p.where("u <= 60"), _seeds(spark).where("query_id = 1"), _scores(spark, d))
-
-
 @query(f"""{PART}, {_SCORE}, sq AS (SELECT * FROM (VALUES (1, 5), (2, 7)) s(query_id, seed)), s AS (SELECT query_id, b.p_partkey AS u FROM sq JOIN part a ON a.p_partkey = seed JOIN part b ON b.p_brand = a.p_brand),
 z AS (SELECT query_id, CAST(sum(d) AS BIGINT) AS vol FROM s JOIN deg ON deg.u = s.u GROUP BY query_id), i AS (SELECT a.query_id, CAST(sum(w) AS BIGINT) AS inn FROM adj JOIN s a ON a.u = adj.u JOIN s b ON b.u = adj.v AND b.query_id = a.query_id GROUP BY a.query_id),
 o AS (SELECT sq.query_id, deg.u, deg.d, sum(deg.d) OVER (PARTITION BY sq.query_id ORDER BY CASE WHEN deg.u = seed THEN 0 WHEN s.u IS NOT NULL THEN 1 ELSE 2 END, coalesce(x, 0) DESC, deg.u ROWS UNBOUNDED PRECEDING) AS c
   FROM sq CROSS JOIN part JOIN deg ON deg.u = p_partkey LEFT JOIN s ON s.u = deg.u AND s.query_id = sq.query_id LEFT JOIN sc ON sc.u = deg.u AND sc.query_id = sq.query_id)
 SELECT o.query_id, o.u, CAST((c * c - (c - d) * (c - d)) * vol - ((vol - coalesce(inn, 0)) * m + vol * vol) * d AS BIGINT) AS num, CAST(m * vol AS BIGINT) AS den FROM o JOIN z ON z.query_id = o.query_id LEFT JOIN i ON i.query_id = o.query_id, tot""")
-def mm_surrogate_all(spark, d):
+def mm_surrogate(spark, d):
     """One minorise step over all parts, from the brand of each query's seed."""
     p, s = table(spark, d, "part"), _seeds(spark)
     brand = p.join(s, F.col("p_partkey") == F.col("seed")).select("query_id", "p_brand")
@@ -633,10 +616,11 @@ def slpa_cover(spark, d):
     return iterative.label_cover(iterative.label_rounds(g_supp(spark, d), 5), 0.3)
 
 
-@query(f"""{GEO} SELECT adj.u AS ego, adj.v AS u, adj.v AS c FROM adj""")
+@query(f"""{PAIR} SELECT a.u AS ego, a.v AS u, least(a.v, coalesce(min(t.x), a.v)) AS c FROM adj a
+LEFT JOIN (SELECT b.u AS ego, b.v AS y, c.v AS x FROM adj b JOIN adj c ON c.u = b.u JOIN adj o ON o.u = b.v AND o.v = c.v) t ON t.ego = a.u AND t.y = a.v GROUP BY a.u, a.v""")
 def ego_components(spark, d):
-    """Ego networks of a forest have no edges: each neighbour is a component of its own."""
-    return iterative.ego_components(g_geo(spark, d))
+    """Ego networks of customers in pairs: a partner and the nation both hang on are one component, other neighbours are alone."""
+    return iterative.ego_components(g_pair(spark, d))
 
 
 @query()

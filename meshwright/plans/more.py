@@ -71,7 +71,7 @@ def query_validation(spark, d):
     return bank.invalid_queries(g_geo(spark, d), q)
 
 
-@query(f"""{PART}, s AS (SELECT p_brand AS set_id, p_partkey AS u FROM part WHERE p_size <= 5), vol AS (SELECT set_id, count(*) AS n, sum(coalesce(d, 0)) AS v FROM s LEFT JOIN deg ON deg.u = s.u GROUP BY set_id),
+@query(f"""{PART}, s AS (SELECT p_brand AS set_id, p_partkey AS u FROM part), vol AS (SELECT set_id, count(*) AS n, sum(coalesce(d, 0)) AS v FROM s LEFT JOIN deg ON deg.u = s.u GROUP BY set_id),
 i AS (SELECT a.set_id, sum(w) AS i FROM adj JOIN s a ON a.u = adj.u JOIN s b ON b.u = adj.v AND a.set_id = b.set_id GROUP BY a.set_id),
 bs AS (SELECT vol.set_id, n, v, v - coalesce(i, 0) AS c FROM vol LEFT JOIN i ON i.set_id = vol.set_id),
 nr AS (SELECT s.set_id, adj.v AS u, sum(w) AS w FROM s JOIN adj ON adj.u = s.u GROUP BY s.set_id, adj.v),
@@ -79,8 +79,8 @@ x AS (SELECT nr.set_id, 'add' AS operation, nr.u, v + d AS v, c + d - 2 * w AS c
  UNION ALL SELECT s.set_id, 'delete', s.u, v - d, c - d + 2 * coalesce(w, 0) FROM s JOIN deg ON deg.u = s.u JOIN bs ON bs.set_id = s.set_id LEFT JOIN nr ON nr.set_id = s.set_id AND nr.u = s.u WHERE n > 1)
 SELECT set_id, operation, u, CAST(c * m + v * v AS BIGINT) AS z_num, CAST(m * v AS BIGINT) AS z_den FROM x, tot""")
 def truth_margins(spark, d):
-    """What adding or deleting one part would do to each brand's small parts."""
-    s = table(spark, d, "part").where("p_size <= 5").select(F.col("p_brand").alias("set_id"), F.col("p_partkey").alias("u"))
+    """What adding or deleting one part would do to each brand's parts."""
+    s = table(spark, d, "part").select(F.col("p_brand").alias("set_id"), F.col("p_partkey").alias("u"))
     return bank.truth_margins(g_part(spark, d), s)
 
 
