@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.functions import diffuse, exact, grouping
+from meshwright.functions.compose import compose
 from meshwright.functions.cuts import quality, refine, regional_bound
 from meshwright.functions.region import Region
 from meshwright.operators.graph import Graph
@@ -203,11 +204,18 @@ def refinements(g: Graph, members: DataFrame, starts: DataFrame, seeds: DataFram
 CRITERIA: dict[str, Callable[[Region, int], str]] = {
     "degree_copy": lambda b, m: exact.block_certificate(b, m, Fraction(1)),
     "uniform_copy": lambda b, m: exact.contrast_certificate(b, m, Fraction(1)),
+    "zero_copy": lambda b, m: exact.block_certificate(b, m, Fraction(1), "zero"),
+    "anchor_copy": lambda b, m: exact.block_certificate(b, m, Fraction(1), "anchor"),
+    "full_pairs": lambda b, m: exact.pairs_certificate(b, m, Fraction(1)),
     "almost_clique": lambda b, m: exact.almost_clique(b, m, 1, 1)[0],
     "positive_closure": lambda b, m: exact.closure_block(b, m, 1, 1)[0],
 }
 
 
+#: The criteria of a panel unless others are named.
+MAIN_CRITERIA = ["almost_clique", "degree_copy", "positive_closure", "uniform_copy"]
+
+
 def block_panel(g: Graph, blocks: DataFrame, methods: list[str] | None = None, limit: int = LIMIT) -> DataFrame:
     """(block_id, size, method, status): each block (block_id, u) under each named criterion.
 
@@ -215,7 +223,7 @@ def block_panel(g: Graph, blocks: DataFrame, methods: list[str] | None = None, l
     all. Blocks of fewer than two vertices stay in the table as ``too_small``, those of
     more than ``limit`` edges as ``size_limit``.
     """
-    methods, m = methods or sorted(CRITERIA), g.volume
+    methods, m = methods or MAIN_CRITERIA, g.volume
     b = blocks.select("block_id", "u").distinct().join(g.vertices.select("u"), "u", "left_semi")
     size = b.groupBy("block_id").agg(F.count("*").cast("int").alias("size"))
     rows = region_rows(g, b.join(size.where("size > 1"), "block_id", "left_semi"), "block_id")
@@ -249,6 +257,30 @@ def optima(g: Graph, blocks: DataFrame, cap: int = 10) -> DataFrame:
     return per_region(rows, "block_id", "size int, active int, kept boolean, ties int", kernel, None, instead=[F.lit(None), F.lit(None), F.lit(None), F.lit(0)])
 
 
+def compositions(g: Graph, parts: DataFrame, bank: DataFrame, mode: str = "S", cap: int | None = None, limit: int = LIMIT) -> DataFrame:
+    """(part, u, g): groups of each part's own subgraph (part, u) after sequential composition with its bank (part, block_id, u).
+
+    Each part is a graph of its own: edges that leave it don't count. A part of more
+    than ``limit`` edges gives one row of null u and g. Parts are small by nature,
+    since merges follow one another.
+    """
+    inside = parts.select("part", F.col("u").alias("v"))
+    rows = region_rows(g, parts, "part").join(inside, ["part", "v"], "left_semi").select("part", "u", "v", "w", "du", "dv")
+    blocks = bank.select("part", "block_id", "u").distinct().groupBy("part", "block_id").agg(F.sort_array(F.collect_list("u")).alias("b"))
+    blocks = blocks.groupBy("part").agg(F.collect_list("b").alias("bank"))
+    extra = parts.select("part").distinct().join(blocks, "part", "left")
+
+    def kernel(region: Region, pdf: pd.DataFrame) -> list[tuple]:
+        near, _ = region.as_rows()
+        degree = {u: sum(r.values()) for u, r in near.items()}
+        given = pdf["bank"].iloc[0]
+        own = [] if given is None else [[int(u) for u in b if int(u) in near] for b in given]
+        groups, _ = compose(near, degree, sum(degree.values()), [b for b in own if len(b) > 1], mode=mode, cap=cap)
+        return [(u, gr[0]) for gr in groups for u in gr]
+
+    return per_region(rows, "part", "u long, g long", kernel, extra, limit, [F.lit(None), F.lit(None)])
+
+
 def groupings(g: Graph, parts: DataFrame, seed: int = 0, limit: int = LIMIT) -> DataFrame:
     """(part, u, l): local-move partitions of the subgraphs induced by disjoint parts (part, u).
 

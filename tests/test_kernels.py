@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 
 from meshwright.functions import cuts, diffuse, exact, field61, grouping
 from meshwright.functions.assign import assign
+from meshwright.functions.compose import Quotient, _pair, compose
 from meshwright.functions.region import Region
 
 
@@ -144,10 +145,56 @@ def test_certificates_keep_an_optimum(seed):
     for u, v in value:
         if value[u, v] >= 0 and exact.pair_copy(rows, degree, m, u, v, Fr(1))[1] >= 0:
             assert merged([u, v]) == best
-    groups = exact.safe_composition(rows, degree, m, Fr(1))
-    lab = {u: i for i, g in enumerate(groups) for u in g}
+
+
+@pytest.mark.parametrize("seed", range(12))
+@pytest.mark.parametrize("mode", ["S", "D", "SD", "SW"])
+def test_composition_keeps_an_optimum(seed, mode):
+    rows, degree, m = graph(seed + 200, 6, 0.6)
+    value = {(u, v): exact.affinity(rows, degree, m, Fr(1), u, v) for u, v in combinations(range(6), 2)}
+    best, _, _ = exact.best_partition(6, value)
+    bank = [list(c) for k in (2, 3, 4) for c in combinations(range(6), k)]
+    events = []
+    groups, log = compose(rows, degree, m, bank, mode=mode, progress=events.append)
+    assert sorted(u for g in groups for u in g) == list(range(6)) and events == log and len(groups) == 6 - sum(x["size"] - 1 for x in log)
     assert max(sum(x for (i, j), x in value.items() if p[i] == p[j]) for p in exact.partitions(6) if all(p[u] == p[g[0]] for g in groups for u in g)) == best
-    assert set(lab) == set(range(6))
+    # forgetting what failed before changes nothing
+    q = Quotient(rows, degree, m)
+    for step in log:
+        assert q.rows.keys() >= set(step["block"])
+        q.merge(step["block"])
+    assert sorted(sorted(g) for g in q.members.values()) == groups
+    if mode == "S":
+        assert _pair(q, Fr(1), set()) is None
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_weighted_copies(seed):
+    """Centres and full pairs against their definitions in fractions; a certified block keeps an optimum."""
+    rows, degree, m = graph(seed + 300, 6, 0.7)
+    value = {(u, v): exact.affinity(rows, degree, m, Fr(1), u, v) for u, v in combinations(range(6), 2)}
+    best, _, _ = exact.best_partition(6, value)
+    for block in map(list, combinations(range(6), 3)):
+        b = Region.of(rows, degree).within(block)
+        out = [x for x in rows if x not in block]
+        share = {u: {x: Fr(rows[u].get(x, 0), degree[u]) for x in out} for u in block}
+        for centre, middle in (("zero", dict.fromkeys(out, Fr(0))), ("anchor", share[block[0]])):
+            delta, unit = exact.deviation(b, centre)
+            assert [Fr(x, unit) for x in delta] == [sum(abs(share[u][x] - middle[x]) for x in out) for u in block]
+        vol = sum(degree[u] for u in block)
+        lap = [[Fr(0)] * 3 for _ in block]
+        for i, j in combinations(range(3), 2):
+            u, v = block[i], block[j]
+            c = value[u, v] - sum(abs(degree[v] * rows[u].get(x, 0) - degree[u] * rows[v].get(x, 0)) for x in out) / Fr(vol)
+            lap[i][j] = lap[j][i] = -c
+            lap[i][i] += c
+            lap[j][j] += c
+        kind = exact.definiteness([[lap[i][j] - Fr(degree[block[i]], degree[block[0]]) * lap[0][j] - Fr(degree[block[j]], degree[block[0]]) * lap[i][0] + Fr(degree[block[i]] * degree[block[j]], degree[block[0]] ** 2) * lap[0][0] for j in (1, 2)] for i in (1, 2)])
+        got = exact.pairs_certificate(b, m, Fr(1))
+        assert got == ("failed_exact_psd" if kind == "indefinite" else f"verified_positive_{kind}")
+        for status in (got, exact.block_certificate(b, m, Fr(1), "zero"), exact.block_certificate(b, m, Fr(1), "anchor")):
+            if status.startswith("verified"):
+                assert max(sum(x for (i, j), x in value.items() if lab[i] == lab[j]) for lab in exact.partitions(6) if len({lab[u] for u in block}) == 1) == best
 
 
 def test_known_matrices():
