@@ -109,7 +109,7 @@ def matching(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 
     pair = intersections(truth, predicted)
     t, p = F.concat(F.lit("t"), F.col("tcid")), F.concat(F.lit("p"), F.col("pcid"))
-    keyed = pair.withColumn("ku", F.xxhash64(t)).withColumn("kv", F.xxhash64(p))
+    keyed = pair.withColumn("ku", t).withColumn("kv", p)
     part = components(keyed.select(F.col("ku").alias("u"), F.col("kv").alias("v"))).select(F.col("u").alias("ku"), F.col("c").alias("comp"))
     schema = keyed.select("tcid", "pcid").schema.add("f1", "double")
     return keyed.join(part, "ku").select("comp", "tcid", "pcid", "both", "t", "p").groupBy("comp").applyInPandas(_match, schema)

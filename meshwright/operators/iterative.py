@@ -6,6 +6,8 @@ number of rounds, and a lost executor costs one round at most.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,9 +85,19 @@ class _Looped(Graph):
         self.__dict__["volume"] = volume
 
 
-def recursive_contraction(g: Graph, p: int = 1, q: int = 1, limit: int = 64) -> tuple[DataFrame, DataFrame]:
+def quotient_graph(g: Graph, membership: DataFrame) -> Graph:
+    """The graph of groups (u, g) without loops, whose degrees and volume are those of all vertices."""
+    inner, _ = contract(g, membership)
+    degrees = materialize(g.degrees.join(membership, "u").groupBy(F.col("g").alias("u")).agg(F.sum("d").alias("d")), "degrees")
+    return _Looped(inner.edges, degrees, g.volume)
+
+
+def recursive_contraction(g: Graph, p: int = 1, q: int = 1, progress: Callable[[dict], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """(u, g) after contracting safe edges until none is left, and (round, rule, edges) of what was found.
 
+    It ends, since every round but the last unites groups; ``progress`` is told what
+    each rule found as it is found.
+
     Each round takes all edges that singleton dominance, positive closure or the
     twin rule accept on the present graph, unites them and contracts. Degrees and
     volume are carried over, so later rounds judge the same objective.
@@ -93,7 +105,9 @@ def recursive_contraction(g: Graph, p: int = 1, q: int = 1, limit: int = 64) ->
     m, degrees, edges = g.volume, g.degrees, g.edges
     member = g.vertices.select("u", F.col("u").alias("g"))
     log: list[tuple[int, str, int]] = []
-    for turn in range(1, limit + 1):
+    turn = 0
+    while True:
+        turn += 1
         now = _Looped(edges, degrees, m)
         rules = {"dominance": singleton_dominance(now, p, q), "closure": positive_closure(now, p, q), "twins": proportional_twins(now, p, q)}
         found = None
@@ -101,6 +115,8 @@ def recursive_contraction(g: Graph, p: int = 1, q: int = 1, limit: int = 64) ->
             rule = materialize(rule.select("u", "v"), "safe")
             n = rule.count()
             log.append((turn, name, n))
+            if progress:
+                progress({"round": turn, "rule": name, "edges": n})
             if n:
                 found = rule if found is None else found.unionByName(rule)
         if found is None:
@@ -114,7 +130,7 @@ def recursive_contraction(g: Graph, p: int = 1, q: int = 1, limit: int = 64) ->
     return member, spark.createDataFrame(log, "round int, rule string, edges long")
 
 
-def push_rounds(g: Graph, seeds: DataFrame, alpha: float, rho: float, rounds: int | None = None, key: str = "query_id") -> DataFrame:
+def push_rounds(g: Graph, seeds: DataFrame, alpha: float, rho: float, rounds: int | None = None, key: str = "query_id", progress: Callable[[dict], None] | None = None) -> DataFrame:
     """(key, u, rank, residual) after rounds of lazy personalised push from (key, seed).
 
     Without ``rounds`` it goes on until no residual exceeds rho d. That ends: each
@@ -123,7 +139,8 @@ def push_rounds(g: Graph, seeds: DataFrame, alpha: float, rho: float, rounds: in
     In a round every vertex whose residual exceeds rho d pushes at once: alpha of it
     stays as rank, half of the rest stays as residual, the other half goes to the
     neighbours by weight. This is a different schedule from a queue's with the same
-    bound: once no residual exceeds rho d nothing moves. Mass is kept.
+    bound: once no residual exceeds rho d nothing moves. Mass is kept. ``progress`` is
+    told of each round.
     """
     d = g.degrees
     state = seeds.select(key, F.col("seed").alias("u"), F.lit(0.0).alias("rank"), F.lit(1.0).alias("residual"))
@@ -134,6 +151,8 @@ def push_rounds(g: Graph, seeds: DataFrame, alpha: float, rho: float, rounds: in
         if rounds is None and s.where(hot).isEmpty():
             return s.select(key, "u", "rank", "residual")
         done += 1
+        if progress:
+            progress({"round": done})
         go = s.where(hot).select(key, "u", ((1 - alpha) * F.col("residual") / (2 * F.col("d"))).alias("x"))
         sent = go.join(g.adj, "u").select(key, F.col("v").alias("u"), F.lit(0.0).alias("rank"), (F.col("x") * F.col("w")).alias("residual"))
         kept = s.select(
@@ -204,12 +223,11 @@ def ego_components(g: Graph) -> DataFrame:
     pairs = F.array(F.struct(F.col("a").alias("ego"), F.col("b").alias("x"), F.col("c").alias("y")), F.struct(F.col("b").alias("ego"), F.col("a").alias("x"), F.col("c").alias("y")), F.struct(F.col("c").alias("ego"), F.col("a").alias("x"), F.col("b").alias("y")))
     tri = materialize(t.select(F.inline(pairs)), "triangles")
     nodes = materialize(g.adj.select(F.col("u").alias("ego"), F.col("v").alias("x")), "egonodes")
-    ident = F.xxhash64("ego", "x")
-    links = tri.select(ident.alias("u"), F.xxhash64("ego", "y").alias("v"))
-    comp = components(links, nodes.select(ident.alias("u")))
-    named = nodes.withColumn("id", ident).join(comp.withColumnRenamed("u", "id"), "id")
-    w = named.groupBy("ego", "c").agg(F.min("x").alias("m"))
-    return named.join(w, ["ego", "c"]).select("ego", F.col("x").alias("u"), F.col("m").alias("c"))
+    # a pair is named by both its vertices, so that no two pairs are ever taken for one
+    links = tri.select(F.struct(F.col("ego").alias("e"), F.col("x").alias("x")).alias("u"), F.struct(F.col("ego").alias("e"), F.col("y").alias("x")).alias("v"))
+    comp = components(links, nodes.select(F.struct(F.col("ego").alias("e"), "x").alias("u")))
+    # structs are ordered by their fields: the least pair of a component holds its least vertex
+    return comp.select(F.col("u.e").alias("ego"), F.col("u.x").alias("u"), F.col("c.x").alias("c"))
 
 
 def personas(g: Graph) -> tuple[DataFrame, DataFrame]:
@@ -218,7 +236,7 @@ def personas(g: Graph) -> tuple[DataFrame, DataFrame]:
     An edge joins the persona of either end in whose component the other end lies.
     """
     ego = materialize(ego_components(g), "ego")
-    ids = ego.select("ego", "c").distinct().withColumn("persona", F.xxhash64("ego", "c"))
+    ids = ego.select("ego", "c").distinct().withColumn("persona", F.concat_ws("/", "ego", "c"))
     at = ego.join(ids, ["ego", "c"]).select("ego", "u", "persona")
     a = at.select(F.col("ego").alias("u"), F.col("u").alias("v"), F.col("persona").alias("p"))
     b = at.select(F.col("ego").alias("v"), F.col("u").alias("u"), F.col("persona").alias("q"))

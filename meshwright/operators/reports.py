@@ -247,3 +247,26 @@ def score_differences(a: DataFrame, b: DataFrame, keys: list[str], fields: list[
     j = long(a, "a").join(long(b, "b"), [*keys, "field"], "full_outer")
     same = (F.col("a").isNull() & F.col("b").isNull()) | (F.abs(F.col("a") - F.col("b")) <= tolerance)
     return j.where(~F.coalesce(same, F.lit(False))).select(*keys, "field", "a", "b")
+
+
+def suite_table(cases: DataFrame, part: str, fields: str, key: str = "case_id") -> DataFrame:
+    """(key, place, fields...) of the objects in one list of each case's JSON ``payload``, with their place in it.
+
+    ``fields`` is the objects' schema as text. A case whose payload isn't an object,
+    or that lacks the list, gives no row; a null element keeps its place and gives none.
+    """
+    listed = F.from_json("payload", f"struct<{part}:array<struct<{fields}>>>")[part]
+    rows = cases.select(key, F.posexplode(listed).alias("place", "row")).where(F.col("row").isNotNull())
+    return rows.select(key, "place", "row.*")
+
+
+def suite_mismatches(cases: DataFrame, rows: DataFrame, stored: str, derived: Column, key: str = "case_id", tolerance: float = 1e-9) -> DataFrame:
+    """(key, stored, derived) of the cases whose stored value isn't what their rows give; a case without rows derives null.
+
+    ``stored`` is a number in the payload, ``derived`` an aggregate over the flat rows.
+    """
+    said = cases.select(key, F.get_json_object("payload", f"$.{stored}").cast("double").alias("stored"))
+    made = rows.groupBy(key).agg(derived.cast("double").alias("derived"))
+    both = said.join(made, key, "left")
+    same = F.abs(F.col("stored") - F.col("derived")) <= tolerance * F.greatest(F.abs("stored"), F.lit(1.0))
+    return both.where(~F.coalesce(same, F.col("stored").isNull() & F.col("derived").isNull()))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meshwright.functions.compose import MODES
 from meshwright.functions.diffuse import VARIANTS
-from meshwright.operators import metrics, regions, reports
-from meshwright.operators.graph import fingerprint, g_geo, g_supp
-from meshwright.plans.graphs import GEO, brands
+from meshwright.operators import metrics, pipelines, regions, reports
+from meshwright.operators.graph import fingerprint, g_geo, g_pair, g_supp
+from meshwright.plans.graphs import GEO, PAIR, brands
 from meshwright.session import materialize, table
 from meshwright.sources import generators
 from meshwright.streaming import windows
@@ -140,6 +142,76 @@ def block_certificate(spark, d):
     return regions.block_panel(g_supp(spark, d), _blocks(spark, d))
 
 
+def _pair_blocks(spark, d):
+    """(block_id, u): customers in pairs of neighbouring ids."""
+    c = g_pair(spark, d).degrees.where("u < 1000000000000").select(F.floor(F.col("u") / 2).alias("block_id"), "u")
+    return c.join(c.groupBy("block_id").agg(F.count("*").alias("n")).where("n = 2"), "block_id", "left_semi")
+
+
+@query(f"""{PAIR}, e2 AS (SELECT e.u, e.v, e.w, a.d AS du, b.d AS dv, m FROM e JOIN deg a ON a.u = e.u JOIN deg b ON b.u = e.v, tot WHERE e.w = 50),
+o AS (SELECT e2.u, e2.v, x.v AS x, x.w AS a, 0 AS b FROM e2 JOIN adj x ON x.u = e2.u AND x.v <> e2.v UNION ALL SELECT e2.u, e2.v, x.v, 0, x.w FROM e2 JOIN adj x ON x.u = e2.v AND x.v <> e2.u),
+n AS (SELECT o.u, o.v, x, sum(a) AS a, sum(b) AS b, any_value(d) AS d FROM o JOIN deg ON deg.u = x GROUP BY o.u, o.v, x),
+k AS (SELECT n.u, n.v, sum(abs(dv * a - du * b)) AS s, sum(abs(m * (a - b) - (du - dv) * d)) AS near, sum(d) AS dn,
+  sum(greatest(m * a - du * d, 0) + greatest(m * b - dv * d, 0)) AS pos, sum(least(greatest(m * a - du * d, 0), greatest(m * b - dv * d, 0))) AS shared FROM n JOIN e2 ON e2.u = n.u AND e2.v = n.v GROUP BY n.u, n.v),
+g AS (SELECT e2.u // 2 AS block_id, m * w * (du + dv) - m * s - (du + dv) * du * dv AS deg, 2 * (m * w - du * dv) - near - abs(du - dv) * (m - du - dv - dn) AS uni, m * w - du * dv - pos AS clique, m * w - du * dv AS c, m * w - du * dv + shared - pos AS clo
+  FROM k JOIN e2 ON e2.u = k.u AND e2.v = k.v),
+r AS (SELECT block_id, 'degree_copy' AS method, CASE WHEN deg > 0 THEN 'verified_positive_definite' WHEN deg = 0 THEN 'verified_positive_semidefinite' ELSE 'failed_exact_psd' END AS status FROM g
+  UNION ALL SELECT block_id, 'full_pairs', CASE WHEN deg > 0 THEN 'verified_positive_definite' WHEN deg = 0 THEN 'verified_positive_semidefinite' ELSE 'failed_exact_psd' END FROM g
+  UNION ALL SELECT block_id, 'uniform_copy', CASE WHEN uni > 0 THEN 'verified_positive_definite' WHEN uni = 0 THEN 'verified_positive_semidefinite' ELSE 'failed_exact_psd' END FROM g
+  UNION ALL SELECT block_id, 'almost_clique', CASE WHEN clique > 0 THEN 'verified_strict' ELSE 'failed_upper_bound' END FROM g
+  UNION ALL SELECT block_id, 'positive_closure', CASE WHEN c < 0 THEN 'negative_inner_affinity' WHEN clo > 0 THEN 'verified_all_pairs' ELSE 'failed_pair_condition' END FROM g)
+SELECT CAST(block_id AS BIGINT) AS block_id, CAST(2 AS INT) AS size, method, status FROM r""")
+def pair_certificates(spark, d):
+    """Pairs of customers under five criteria, which for two members have closed forms."""
+    return regions.block_panel(g_pair(spark, d), _pair_blocks(spark, d), ["degree_copy", "full_pairs", "uniform_copy", "almost_clique", "positive_closure"])
+
+
+@query()
+def weighted_copies(spark, d):
+    """Blocks of suppliers under copies around other centres and over all pairs of members."""
+    return regions.block_panel(g_supp(spark, d), _blocks(spark, d), ["zero_copy", "anchor_copy", "full_pairs"])
+
+
+@query()
+def sequential_composition(spark, d):
+    """Suppliers of one nation and third of the id range, composed as small graphs of their own, in each mode."""
+    g, b = g_supp(spark, d), _blocks(spark, d)
+    parts = b.select(F.col("block_id").alias("part"), "u")
+    bank = parts.select("part", (F.col("u") % 6).alias("block_id"), "u")
+    out = [regions.compositions(g, parts, bank, mode).select(F.lit(mode).alias("mode"), "part", "u", "g") for mode in MODES]
+    return reduce(DataFrame.unionByName, out)
+
+
+@query()
+def pipeline_arms(spark, d):
+    """What each contraction pipeline removes from the graph of paired customers, given blocks of two and of four."""
+    g = g_pair(spark, d)
+    two = _pair_blocks(spark, d)
+    four = two.select((-F.floor(F.col("u") / 4) - 1).alias("block_id"), "u")
+    labels = table(spark, d, "customer").select(F.col("c_custkey").alias("u"), F.col("c_nationkey").alias("l"))
+    return pipelines.arm_summary(g, two.unionByName(four), labels)
+
+
+def _suite(spark, d):
+    """Orders as nested cases; every hundredth one stores a total that is wrong."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price")))).alias("blocks"), F.sum("l_quantity").alias("q"))
+    stored = F.col("q") + F.when(F.col("l_orderkey") % 100 == 0, 1.0).otherwise(0.0)
+    return lines.select(F.col("l_orderkey").alias("case_id"), F.to_json(F.struct("blocks", stored.alias("total"))).alias("payload"))
+
+
+@query("SELECT l_orderkey AS case_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice) - 1 AS place, l_quantity AS quantity, l_extendedprice AS price FROM lineitem")
+def suite_blocks(spark, d):
+    """The flat table of one list of nested cases."""
+    return reports.suite_table(_suite(spark, d), "blocks", "quantity:double,price:double").select("case_id", F.col("place").cast("bigint").alias("place"), "quantity", "price")
+
+
+@query("SELECT l_orderkey AS case_id, sum(l_quantity) + 1 AS stored, sum(l_quantity) AS derived FROM lineitem WHERE l_orderkey % 100 = 0 GROUP BY l_orderkey")
+def suite_differences(spark, d):
+    """Cases whose stored total isn't the sum over their flat rows."""
+    cases = _suite(spark, d)
+    return reports.suite_mismatches(cases, reports.suite_table(cases, "blocks", "quantity:double"), "total", F.sum("quantity"))
+
+
 @query()
 def leaf_certificate(spark, d):
     """Each nation with one customer, a block every criterion can accept."""

@@ -12,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwright.functions import cuts, diffuse, exact
+from meshwright.functions.compose import compose
 from meshwright.functions.region import Region
-from meshwright.operators import bank, cover, hyper, iterative, jobs, metrics, ordered, regions
+from meshwright.operators import bank, cover, hyper, iterative, jobs, metrics, ordered, pipelines, regions, reports
 from meshwright.operators.graph import Graph, asymmetries, fingerprint
 from meshwright.sources import generators, graph_files
 from meshwright.streaming import windows
@@ -113,6 +114,54 @@ def test_surrogate_is_tight(spark):
     assert total + Region.of(rows, degree).numbers({0, 1, 2})[1] == 0
 
 
+@pytest.mark.parametrize("seed", [3, 8])
+def test_pipeline_arms_keep_an_optimum(spark, seed):
+    rows, degree, m = graph(seed + 60, 6, 0.5)
+    g = frame(spark, rows)
+    bank_rows = [(k, u) for k, c in enumerate(c for n in (2, 3) for c in combinations(range(6), n)) for u in c]
+    blocks = spark.createDataFrame(bank_rows, "block_id long, u long")
+    value = {(u, v): exact.affinity(rows, degree, m, Fr(1), u, v) for u, v in combinations(range(6), 2)}
+    best, _, _ = exact.best_partition(6, value)
+    events = []
+    for name in pipelines.ARMS:
+        group = {r["u"]: r["g"] for r in pipelines.arm(g, blocks, name, progress=events.append).collect()}
+        assert set(group) == set(range(6)) and (name != "U" or group == {u: u for u in range(6)})
+        assert max(sum(x for (i, j), x in value.items() if p[i] == p[j]) for p in exact.partitions(6) if all(p[u] == p[group[u]] for u in group)) == best, name
+    assert events and events[0]["round"] == 1
+    with pytest.raises(ValueError):
+        pipelines.arm(g, blocks, "X")
+
+
+def test_images_drop_equal_and_large_ones(spark):
+    blocks = spark.createDataFrame([(1, 0), (1, 1), (2, 2), (2, 3), (3, 1), (3, 2), (4, 0), (4, 4), (4, 5)], "block_id long, u long")
+    member = spark.createDataFrame([(0, 0), (1, 0), (2, 2), (3, 3), (4, 4), (5, 5)], "u long, g long")
+    assert {tuple(r) for r in pipelines.images(blocks, member, 2).collect()} == {(2, 2), (2, 3), (3, 0), (3, 2)}
+
+
+def test_compositions_by_part(spark):
+    rows, degree, m = graph(5, 8, 0.5)
+    g = frame(spark, rows)
+    parts = spark.createDataFrame([("a", u) for u in range(5)] + [("b", u) for u in range(5, 8)], "part string, u long")
+    none = spark.createDataFrame([], "part string, block_id long, u long")
+    got = {}
+    for r in regions.compositions(g, parts, none, "S").collect():
+        got.setdefault(r["part"], {})[r["u"]] = r["g"]
+    for part, us in (("a", range(5)), ("b", range(5, 8))):
+        inner = {u: {v: w for v, w in rows[u].items() if v in us} for u in us if any(v in us for v in rows[u])}
+        d = {u: sum(r.values()) for u, r in inner.items()}
+        groups, _ = compose(inner, d, sum(d.values()))
+        assert got.get(part, {}) == {u: gr[0] for gr in groups for u in gr}
+    assert regions.compositions(g, parts, none, "S", limit=1).where("u IS NULL").count() >= 1
+
+
+def test_suites(spark):
+    cases = spark.createDataFrame([(1, '{"blocks":[{"n":2,"x":"a"},null,{"n":3}],"total":5}'), (2, '{"blocks":[],"total":1}'), (3, "no json"), (4, None), (5, '{"blocks":[{"n":1}],"total":2}')], "case_id long, payload string")
+    rows = reports.suite_table(cases, "blocks", "n:int,x:string")
+    assert {tuple(r) for r in rows.collect()} == {(1, 0, 2, "a"), (1, 2, 3, None), (5, 0, 1, None)}
+    got = {tuple(r) for r in reports.suite_mismatches(cases, rows, "total", F.sum("n")).collect()}
+    assert got == {(2, 1.0, None), (5, 2.0, 1.0)}
+
+
 def test_regions_match_kernels(spark):
     rows, degree, m = graph(2, 10, 0.3)
     g = frame(spark, rows)
