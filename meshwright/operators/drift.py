@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -24,6 +25,7 @@ from meshwright.functions.assign import assign
 from meshwright.session import materialize
 
 _KINDS = ("array", "boolean", "number", "string")
+_KIND = {k[0]: k for k in _KINDS}
 _SKETCH = 8
 _FIELD = "file_id long, rec string, path string, kind string, value long"
 
@@ -57,25 +59,36 @@ def kind_of(value: Any) -> str:
 
 def canonical(value: Any) -> str:
     """A text in which equal values of one type are equal; 3 and 3.0 are one number."""
-    if isinstance(value, float) and value.is_integer():
-        value = int(value)
-    return kind_of(value)[0] + json.dumps(value, sort_keys=True)
+    if isinstance(value, str):
+        return "s" + value
+    if isinstance(value, float):
+        return f"n{int(value)}" if value.is_integer() else f"n{value!r}"
+    if isinstance(value, bool):
+        return "b1" if value else "b0"
+    return f"n{value}" if isinstance(value, int) else "a" + json.dumps(value, sort_keys=True)
 
 
 def _fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = []
-        for file_id, payload in zip(pdf["file_id"], pdf["payload"]):
+        files, recs, sizes, paths, kinds, values = [], [], [], [], [], []
+        for file_id, payload in zip(pdf["file_id"].tolist(), pdf["payload"].tolist()):
             record = read_object(payload)
             if record is None:
                 continue
             rec = record.get("record_id")
-            rec = None if rec is None or isinstance(rec, (dict, list)) else canonical(rec)
+            before = len(paths)
             for path, value in leaves(record):
-                h = xxhash.xxh64_intdigest(canonical(value)) - (1 << 63)
-                out.append((file_id, rec, path, kind_of(value), h))
-        if out:
-            yield pd.DataFrame(out, columns=["file_id", "rec", "path", "kind", "value"])
+                text = canonical(value)
+                paths.append(path)
+                kinds.append(_KIND[text[0]])
+                values.append(xxhash.xxh64_intdigest(text))
+            files.append(file_id)
+            recs.append(None if rec is None or isinstance(rec, (dict, list)) else canonical(rec))
+            sizes.append(len(paths) - before)
+        if paths:
+            each = np.repeat(np.arange(len(sizes)), sizes)
+            hashes = np.array(values, dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"file_id": np.array(files, dtype=np.int64)[each], "rec": np.array(recs, dtype=object)[each], "path": paths, "kind": kinds, "value": hashes})
 
 
 def field_values(lines: DataFrame) -> DataFrame:
@@ -107,12 +120,18 @@ def plain(path: Column) -> Column:
     return F.regexp_replace(F.lower(path), "[^a-z0-9]", "")
 
 
+@lru_cache(100_000)
+def _alike(a: str, b: str) -> float:
+    """How alike two names are; streams of files meet the same names again and again."""
+    return SequenceMatcher(None, a, b).ratio()
+
+
 def _match(pdf: pd.DataFrame) -> pd.DataFrame:
     """The renames of one file: an assignment of the fields that end to those that begin."""
     old, new = sorted(set(pdf["old_path"])), sorted(set(pdf["new_path"]))
     w = np.zeros((len(old), len(new)))
     for o, n, agree, so, sn in zip(pdf["old_path"], pdf["new_path"], pdf["agree"], pdf["old_sketch"], pdf["new_sketch"]):
-        name = SequenceMatcher(None, o.lower(), n.lower()).ratio()
+        name = _alike(o.lower(), n.lower())
         alike = float(np.mean(np.asarray(so) == np.asarray(sn)))
         w[old.index(o), new.index(n)] = 4 + min(int(agree), 8) / 4 + name + alike / 2
     pairs = [(pdf["file_id"].iloc[0], old[i], new[j]) for i, j in assign(w)]
@@ -154,6 +173,8 @@ def changes(files: DataFrame, lines: DataFrame, values: DataFrame | None = None)
     stand = stand.join(now_is.select("file_id", "rec", "new_path").distinct(), ["file_id", "rec", "new_path"]).groupBy(*pair).agg(F.count("*").alias("both"))
     weighed = candidates.join(agree, pair, "left").join(stand, pair, "left").fillna(0, ["agree", "both"]).where(F.col("agree") == F.col("both"))
     weighed = weighed.join(ended.select("file_id", "old_path", "old_sketch"), ["file_id", "old_path"]).join(began.select("file_id", "new_path", "new_sketch"), ["file_id", "new_path"])
+    # a stated number of partitions, since few rows would be gathered into one task
+    weighed = weighed.repartition(2 * files.sparkSession.sparkContext.defaultParallelism, "file_id")
     renamed = materialize(weighed.groupBy("file_id").applyInPandas(_match, "file_id long, old_path string, new_path string"), "renames")
 
     none = F.lit("")
