@@ -90,5 +90,4 @@ class GroupGraph:
 def grouped(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(graph_id, cid, node) of small graphs (graph_id, u, v, w, method, seed), one task a graph."""
     spark.udtf.register("group_graph", GroupGraph)
-    edges.createOrReplaceTempView("_meshwright_graphs")
-    return spark.sql("SELECT * FROM group_graph(TABLE(_meshwright_graphs) PARTITION BY graph_id)")
+    return spark.sql("SELECT * FROM group_graph(TABLE({edges}) PARTITION BY graph_id)", edges=edges)

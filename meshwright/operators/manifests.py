@@ -30,15 +30,15 @@ def clean_path(c: Column) -> Column:
     """A path relative to the release root.
 
     Outer blanks go, ``\\`` becomes ``/``, and empty, ``.`` and resolvable ``..``
-    parts are left out; the text is then brought to NFC. Letter case stays.
+    parts are left out; a ``..`` that would leave the root stays. The text is then
+    brought to NFC. Letter case stays.
     """
     c = F.regexp_replace(c, rf"^{_BLANK}|{_BLANK}$", "")
     parts = F.filter(F.split(F.translate(c, "\\", "/"), "/", -1), lambda x: ~x.isin("", "."))
     folded = F.aggregate(
         parts,
         F.array().cast("array<string>"),
-        lambda acc, x: F.when((x == "..") & (F.size(acc) > 0), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(x == "..", acc)
+        lambda acc, x: F.when((x == "..") & (F.size(acc) > 0) & ~F.try_element_at(acc, F.lit(-1)).eqNullSafe(".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
         .otherwise(F.concat(acc, F.array(x))),
     )
     plain = F.array_join(F.when(F.array_contains(parts, ".."), folded).otherwise(parts), "/")

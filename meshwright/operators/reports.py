@@ -110,11 +110,10 @@ def panel_summary(runs: DataFrame, measure: str = "pipeline_seconds") -> DataFra
     """
     r = one_per_record(runs).select("method", "device", "threads", F.when(sound(), F.col(measure)).alias("x"), (F.col("status") == "COMPLETED").alias("c"))
     r = materialize(r, "panel")
-    r.createOrReplaceTempView("_meshwright_panel")
     counts = r.sparkSession.sql("""
         SELECT method, device, threads, grouping_id() AS level, count(*) AS n, count_if(c) AS completed, min(x) AS low, max(x) AS high
-        FROM _meshwright_panel
-        GROUP BY method, device, threads GROUPING SETS ((), (method), (method, device), (method, threads))""")
+        FROM {rows}
+        GROUP BY method, device, threads GROUPING SETS ((), (method), (method, device), (method, threads))""", rows=r)
     kinds = [(7, ()), (3, ("method",)), (1, ("method", "device")), (2, ("method", "threads"))]
     labels = F.array(*(F.struct(F.lit(k).cast("bigint").alias("level"), *((F.col(c) if c in own else F.lit(None).cast(r.schema[c].dataType)).alias(c) for c in ("method", "device", "threads"))) for k, own in kinds))
     middle = percentiles(r.where("x IS NOT NULL").select("x", F.inline(labels)), ["level", "method", "device", "threads"], "x", [0.5])

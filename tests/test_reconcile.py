@@ -92,3 +92,13 @@ def test_interpolation(na, nb):
             assert r == 0
     if na + nb > 3:
         assert reconcile.interpolate(20 + na, 20 + nb, values(common + left, 2), values(common + right, 2), 2) is None
+
+
+def test_paths_that_leave_the_root_stay_apart(spark):
+    from pyspark.sql import functions as F
+
+    from meshwright.operators.manifests import clean_path
+
+    cases = {"../a": "../a", "a": "a", "x/../../a": "../a", "../../a/../b": "../../b", "./x//y/../z": "x/z", "..": "..", "": ""}
+    rows = spark.createDataFrame([(k,) for k in cases], "p string").select("p", clean_path(F.col("p")).alias("q")).collect()
+    assert {r["p"]: r["q"] for r in rows} == cases
