@@ -170,7 +170,7 @@ def test_regions_match_kernels(spark):
     region = Region.of(rows, degree)
     want = diffuse.retrieve(region, m, 0)
     assert list(got["vertices"]) == region.ids[want["places"]].tolist() and abs(got["lower_bound"] - want["lower_bound"]) < 1e-12
-    panel = regions.block_panel(g, spark.createDataFrame([("a", 0), ("a", 1), ("b", 2), *(("c", u) for u in range(10))], "block_id string, u long"), limit=12).collect()
+    panel = regions.block_panel(g, spark.createDataFrame([("a", 0), ("a", 1), ("b", 2), *(("c", u) for u in range(10))], "block_id string, u long"), sorted(regions.CRITERIA), limit=12).collect()
     assert {r["status"] for r in panel if r["block_id"] == "b"} == {"too_small"} and {r["status"] for r in panel if r["block_id"] == "c"} == {"size_limit"}
     assert {(r["method"], r["status"]) for r in panel if r["block_id"] == "a"} == {(k, f(region.within([0, 1]), m)) for k, f in regions.CRITERIA.items()}
     assert bank.invalid_queries(g, spark.createDataFrame([(1, 0), (2, 99), (3, None)], "query_id int, seed long")).count() == 2
