@@ -281,19 +281,37 @@ def compositions(g: Graph, parts: DataFrame, bank: DataFrame, mode: str = "S", c
     return per_region(rows, "part", "u long, g long", kernel, extra, limit, [F.lit(None), F.lit(None)])
 
 
+def _induced(g: Graph, parts: DataFrame) -> DataFrame:
+    """(part, u, v, w, du, dv): the edges inside each part (part, u), and a row of null v for each of its vertices."""
+    inside = parts.select("part", F.col("u").alias("v"))
+    rows = region_rows(g, parts, "part").join(inside, ["part", "v"], "left_semi").select("part", "u", "v", "w", "du", "dv")
+    alone = parts.join(g.degrees.withColumnRenamed("d", "du"), "u").select("part", "u", F.lit(None).cast("long").alias("v"), F.lit(None).cast("long").alias("w"), "du", F.lit(None).cast("long").alias("dv"))
+    return rows.unionByName(alone)
+
+
 def groupings(g: Graph, parts: DataFrame, seed: int = 0, limit: int = LIMIT) -> DataFrame:
     """(part, u, l): local-move partitions of the subgraphs induced by disjoint parts (part, u).
 
     A part of more than ``limit`` inner edges gives one row of null u and l.
     """
-    inside = parts.select("part", F.col("u").alias("v"))
-    rows = region_rows(g, parts, "part").join(inside, ["part", "v"], "left_semi").select("part", "u", "v", "w", "du", "dv")
-    alone = parts.join(g.degrees.withColumnRenamed("d", "du"), "u").select("part", "u", F.lit(None).cast("long").alias("v"), F.lit(None).cast("long").alias("w"), "du", F.lit(None).cast("long").alias("dv"))
-
     def kernel(region: Region, pdf: pd.DataFrame) -> list[tuple]:
         return sorted(grouping.louvain(region.as_rows()[0], seed=seed).items())
 
-    return per_region(rows.unionByName(alone), "part", "u long, l long", kernel, None, limit, [F.lit(None), F.lit(None)])
+    return per_region(_induced(g, parts), "part", "u long, l long", kernel, None, limit, [F.lit(None), F.lit(None)])
+
+
+def forests(g: Graph, parts: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(part, block, u): bisection forests of the subgraphs induced by disjoint parts (part, u), scaled by whole degrees.
+
+    Blocks are numbered in the order of the forest. A part of more than ``limit``
+    inner edges gives one row of null block and u.
+    """
+
+    def kernel(region: Region, pdf: pd.DataFrame) -> list[tuple]:
+        rows, degree = region.as_rows()
+        return [(i, u) for i, b in enumerate(grouping.forest(rows, degree, [sorted(rows)])) for u in b]
+
+    return per_region(_induced(g, parts), "part", "block int, u long", kernel, None, limit, [F.lit(None), F.lit(None)])
 
 
 def bootstrap(values: DataFrame, panel: str, group: str, value: str, replicates: int = 2000, seed: int = 20261005) -> DataFrame:

@@ -1,7 +1,12 @@
 """Regions too large for one task."""
 
+from pyspark.sql import functions as F
+
 from meshwright.operators import regions
-from meshwright.operators.graph import Graph
+from meshwright.operators.graph import Graph, g_supp
+from meshwright.plans import more
+from meshwright.session import table
+from tests.conftest import SF
 
 
 def test_oversized_regions_are_reported(spark):
@@ -19,3 +24,22 @@ def test_oversized_regions_are_reported(spark):
     start = seeds.withColumnRenamed("seed", "u")
     got = {r["query_id"]: r["status"] for r in regions.refinements(g, regions.regions(g, start, 2), start, seeds, limit=10).collect()}
     assert got == {1: "region_limit", 2: "refined"}
+
+
+def test_forests_of_parts_of_a_graph(spark):
+    # two triangles joined by 2-3, and 6 hung on 0; vertex 6 is a part of its own, 7 is in none
+    edges = [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (3, 5), (4, 5), (0, 6), (5, 7)]
+    g = Graph(spark.createDataFrame([(u, v, 1) for u, v in edges], "u long, v long, w long"))
+    parts = spark.createDataFrame([("a", u) for u in range(6)] + [("b", 6)], "part string, u long")
+    blocks = {}
+    for r in regions.forests(g, parts).collect():
+        blocks.setdefault((r["part"], r["block"]), set()).add(r["u"])
+    assert {k for k, _ in blocks} == {"a"} and blocks["a", 0] == set(range(6))
+    assert {0, 1, 2} in blocks.values() and {3, 4, 5} in blocks.values()
+    assert [tuple(r) for r in regions.forests(g, parts, 3).where("part = 'a'").collect()] == [("a", None, None)]
+
+
+def test_candidate_forest_holds_every_supplier_of_a_nation(spark):
+    got = more.candidate_forest(spark, SF).where("block = 0")
+    s = table(spark, SF, "supplier").join(g_supp(spark, SF).degrees, F.col("u") == F.col("s_suppkey")).groupBy("s_nationkey").count().where("count > 1")
+    assert {tuple(r) for r in got.groupBy("part").count().collect()} == {tuple(r) for r in s.collect()}
