@@ -6,6 +6,7 @@ number of rounds, and a lost executor costs one round at most.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from meshwright.operators.criteria import positive_closure, proportional_twins, singleton_dominance
 from meshwright.operators.graph import Graph
+from meshwright.operators.meetings import LINKS, ego_links, linked
 from meshwright.session import materialize
 
 
@@ -210,24 +212,24 @@ def label_cover(memory: DataFrame, share: Column | float) -> DataFrame:
 def ego_components(g: Graph) -> DataFrame:
     """(ego, u, c): the component of each neighbour in its ego's neighbourhood, named by its least vertex.
 
-    Edges of all ego networks are the triangles, found from the edge's end of fewer
-    neighbours; components of all egos are found at once, over (ego, vertex) pairs.
+    Edges of all ego networks are the triangles, found without a join of wedges; the
+    links of an ego are united by one task.
     """
-    k = g.adj.groupBy("u").agg(F.count("*").alias("k"))
-    e = g.edges.join(k, "u").join(k.select(F.col("u").alias("v"), F.col("k").alias("kv")), "v")
-    up = (F.col("k") < F.col("kv")) | ((F.col("k") == F.col("kv")) & (F.col("u") < F.col("v")))
-    arc = materialize(e.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("b")), "arcs")
-    t = arc.join(arc.select("a", F.col("b").alias("c")), "a").where("b < c")
-    close = g.edges.select(F.col("u").alias("b"), F.col("v").alias("c"))
-    t = t.join(close, ["b", "c"])
-    pairs = F.array(F.struct(F.col("a").alias("ego"), F.col("b").alias("x"), F.col("c").alias("y")), F.struct(F.col("b").alias("ego"), F.col("a").alias("x"), F.col("c").alias("y")), F.struct(F.col("c").alias("ego"), F.col("a").alias("x"), F.col("b").alias("y")))
-    tri = materialize(t.select(F.inline(pairs)), "triangles")
-    nodes = materialize(g.adj.select(F.col("u").alias("ego"), F.col("v").alias("x")), "egonodes")
-    # a pair is named by both its vertices, so that no two pairs are ever taken for one
-    links = tri.select(F.struct(F.col("ego").alias("e"), F.col("x").alias("x")).alias("u"), F.struct(F.col("ego").alias("e"), F.col("y").alias("x")).alias("v"))
-    comp = components(links, nodes.select(F.struct(F.col("ego").alias("e"), "x").alias("u")))
-    # structs are ordered by their fields: the least pair of a component holds its least vertex
-    return comp.select(F.col("u.e").alias("ego"), F.col("u.x").alias("u"), F.col("c.x").alias("c"))
+    parts = max(int(g.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * g.edges.count() / LINKS))
+    return linked(ego_links(g), parts)
+
+
+def _persona(u: str, c: str) -> Column:
+    return F.concat_ws("/", u, c)
+
+
+def _split(ego: DataFrame, g: Graph) -> DataFrame:
+    """(u, v, cu, cv, w): each edge with the components that its ends have in each other's neighbourhoods."""
+    low = F.col("ego") < F.col("u")
+    null = F.lit(None).cast("bigint")
+    ends = ego.select(F.least("ego", "u").alias("u"), F.greatest("ego", "u").alias("v"), F.when(low, F.col("c")).alias("cu"), F.when(~low, F.col("c")).alias("cv"), null.alias("w"))
+    every = ends.unionByName(g.edges.select("u", "v", null.alias("cu"), null.alias("cv"), "w"))
+    return every.groupBy("u", "v").agg(F.max("cu").alias("cu"), F.max("cv").alias("cv"), F.max("w").alias("w"))
 
 
 def personas(g: Graph) -> tuple[DataFrame, DataFrame]:
@@ -236,21 +238,22 @@ def personas(g: Graph) -> tuple[DataFrame, DataFrame]:
     An edge joins the persona of either end in whose component the other end lies.
     """
     ego = materialize(ego_components(g), "ego")
-    ids = ego.select("ego", "c").distinct().withColumn("persona", F.concat_ws("/", "ego", "c"))
-    at = ego.join(ids, ["ego", "c"]).select("ego", "u", "persona")
-    a = at.select(F.col("ego").alias("u"), F.col("u").alias("v"), F.col("persona").alias("p"))
-    b = at.select(F.col("ego").alias("v"), F.col("u").alias("u"), F.col("persona").alias("q"))
-    return ids.select(F.col("ego").alias("u"), "c", "persona"), g.edges.join(a, ["u", "v"]).join(b, ["u", "v"]).select("p", "q", "w")
+    ids = ego.select(F.col("ego").alias("u"), "c").distinct()
+    return ids.select("u", "c", _persona("u", "c").alias("persona")), _split(ego, g).select(_persona("u", "cu").alias("p"), _persona("v", "cv").alias("q"), "w")
 
 
 def ego_splitting(g: Graph, least: int = 1) -> DataFrame:
-    """(cid, node): components of the persona graph carried back to vertices; groups under ``least`` are left out."""
-    names, edges = personas(g)
-    names = materialize(names, "personas")
-    comp = components(edges.select(F.col("p").alias("u"), F.col("q").alias("v")), names.select(F.col("persona").alias("u")))
-    cover = names.join(comp.select(F.col("u").alias("persona"), F.col("c").alias("cid")), "persona").select("cid", F.col("u").alias("node")).distinct()
-    big = cover.groupBy("cid").agg(F.count("*").alias("k")).where(F.col("k") >= least)
-    return cover.join(big, "cid", "left_semi")
+    """(cid, node): components of the persona graph carried back to vertices; groups under ``least`` are left out.
+
+    A group is named by its least persona.
+    """
+    ego = materialize(ego_components(g), "ego")
+    ends = _split(ego, g)
+    # a persona is named by two numbers while components are found
+    links = ends.select(F.struct("u", F.col("cu").alias("c")).alias("u"), F.struct(F.col("v").alias("u"), F.col("cv").alias("c")).alias("v"))
+    comp = materialize(components(links), "groups").select(F.col("u.u").alias("node"), F.col("u.c").alias("c"), F.col("c").alias("g"))
+    names = comp.groupBy("g").agg(F.min(_persona("node", "c")).alias("cid"), F.count_distinct("node").alias("k")).where(F.col("k") >= least)
+    return comp.select("g", "node").distinct().join(names, "g").select("cid", "node")
 
 
 def top_labels(memory: DataFrame) -> DataFrame:
