@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwright.operators.graph import Graph
+from meshwright.operators.meetings import common
+from meshwright.session import materialize
 
 
 def _row_totals(g: Graph, p: int, q: int) -> DataFrame:
@@ -104,18 +106,17 @@ def profile_penalty(g: Graph, pairs: DataFrame) -> DataFrame:
     """(u, v, num, den): how far the pairs' neighbourhoods are from proportional.
 
     num / den = sum over other x of |dv A_ux - du A_vx| / (du + dv); a neighbour of
-    one alone counts in full. Pairs with a vertex the graph doesn't have are left out.
+    one alone counts in full, so only common neighbours take something off the sum of
+    both. Pairs with a vertex the graph doesn't have are left out.
     """
     du = g.degrees.select("u", F.col("d").alias("du"))
     e = pairs.select("u", "v").distinct().join(du, "u").join(du.select(F.col("u").alias("v"), F.col("du").alias("dv")), "v")
-    a = g.adj.select("u", F.col("v").alias("x"), F.col("w").alias("wa"))
-    b = g.adj.select(F.col("u").alias("v"), F.col("v").alias("x"), F.col("w").alias("wb"))
-    left = e.join(a, "u").where(F.col("x") != F.col("v")).select("u", "v", "du", "dv", "x", "wa", F.lit(0).cast("bigint").alias("wb"))
-    right = e.join(b, "v").where(F.col("x") != F.col("u")).select("u", "v", "du", "dv", "x", F.lit(0).cast("bigint").alias("wa"), "wb")
-    cell = left.unionByName(right).groupBy("u", "v", "du", "dv", "x").agg(F.sum("wa").alias("wa"), F.sum("wb").alias("wb"))
-    apart = F.abs(F.col("dv") * F.col("wa") - F.col("du") * F.col("wb"))
-    s = cell.groupBy("u", "v").agg(F.sum(apart).alias("num"))
-    return e.join(s, ["u", "v"], "left").select("u", "v", F.coalesce("num", F.lit(0)).alias("num"), (F.col("du") + F.col("dv")).alias("den"))
+    e = e.join(g.adj, ["u", "v"], "left").select("u", "v", "du", "dv", F.coalesce("w", F.lit(0)).alias("w"))
+    e = materialize(e, "pairs")
+    s = common(g, e.select("u", "v", "du", "dv")).groupBy("u", "v").agg(F.sum(F.least(F.col("dv") * F.col("wu"), F.col("du") * F.col("wv"))).alias("s"))
+    s = materialize(s, "shared")
+    num = F.col("dv") * (F.col("du") - F.col("w")) + F.col("du") * (F.col("dv") - F.col("w")) - 2 * F.coalesce("s", F.lit(0))
+    return e.join(s, ["u", "v"], "left").select("u", "v", num.alias("num"), (F.col("du") + F.col("dv")).alias("den"))
 
 
 def exterior_deviation(g: Graph, blocks: DataFrame) -> DataFrame:

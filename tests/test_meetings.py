@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 
 from meshwright.functions.grouping import connected
-from meshwright.operators import iterative, meetings
+from meshwright.operators import criteria, iterative, meetings
 from meshwright.operators.graph import Graph
 
 
@@ -63,3 +63,15 @@ def test_wedges_are_looked_at_in_parts(monkeypatch):
     got = {(block[0][i], block[1][i], x, wa, wb) for part in parts for i, x, wa, wb in zip(*part)}
     w = {(a, b): k for k, (a, b) in enumerate(rows.tolist())}
     assert len(parts) > 3 and got == {(a, b, x, w[a, x], w[b, x]) for a, b in w for x in range(12) if (a, x) in w and (b, x) in w}
+
+
+def test_profile_penalties(spark):
+    g, near = _graph(spark, 4)
+    d = {u: sum(r.values()) for u, r in near.items()}
+    pairs = [(u, v) for u in near for v in near if (u * v) % 5 == 0] + [(0, 1)]  # 1 isn't in the graph
+    want = {}
+    for u, v in pairs[:-1]:
+        cells = [abs(d[v] * near[u].get(x, 0) - d[u] * near[v].get(x, 0)) for x in near if x not in (u, v)]
+        want[u, v] = (sum(cells), d[u] + d[v])
+    got = criteria.profile_penalty(g, spark.createDataFrame(pairs, "u long, v long")).collect()
+    assert {(r["u"], r["v"]): (r["num"], r["den"]) for r in got} == want and len(got) == len(want)
