@@ -1,12 +1,14 @@
 """Common neighbours, triangles and ego networks against enumeration."""
 
 import random
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
 
+from meshwright.functions import exact
 from meshwright.functions.grouping import connected
-from meshwright.operators import criteria, iterative, meetings
+from meshwright.operators import bank, criteria, iterative, meetings
 from meshwright.operators.graph import Graph
 
 
@@ -75,3 +77,19 @@ def test_profile_penalties(spark):
         want[u, v] = (sum(cells), d[u] + d[v])
     got = criteria.profile_penalty(g, spark.createDataFrame(pairs, "u long, v long")).collect()
     assert {(r["u"], r["v"]): (r["num"], r["den"]) for r in got} == want and len(got) == len(want)
+
+
+def test_pairs_at_a_hub(spark):
+    """Neighbours alike in degree and weight are one root, so a star's pairs have a few each."""
+    edges = [(0, v, 1) for v in range(1, 61)] + [(v, v + 1, 2) for v in range(1, 31, 2)]
+    g = Graph(spark.createDataFrame(edges, "u long, v long, w long"))
+    rows = {}
+    for u, v, w in edges:
+        rows.setdefault(u, {})[v] = w
+        rows.setdefault(v, {})[u] = w
+    degree = {u: sum(r.values()) for u, r in rows.items()}
+    got = bank.pair_margins(g).collect()
+    assert len(got) > 15
+    for r in got:
+        share, margin = exact.pair_copy(rows, degree, sum(degree.values()), r["u"], r["v"], Fraction(1))
+        assert abs(r["margin"] - float(margin)) < 1e-9 and abs(r["share"] - float(share)) < 1e-9
