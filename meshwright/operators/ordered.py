@@ -214,15 +214,14 @@ def violated_triangles(pairs: DataFrame, limit: int) -> DataFrame:
     Ordered by falling violation, then i, j, k: the one bound kept here is the
     report's own length. x must not be negative. Only triangles whose three pairs are
     stored are looked at.
-    A pair's breach is at most x_ij less the least values at both ends. The triangles
-    of the pairs with the greatest bounds give a floor for the report; then only
-    pairs and legs that can reach the floor are joined, so the result is exact
-    without listing all triangles.
+    A breach above top - t, top being the greatest value, takes a pair above that and
+    legs below t. So t is raised until the triangles of those pairs and legs alone
+    fill the report; only they are joined, and the result is exact without listing
+    all triangles.
     """
-    both = materialize(pairs.select("i", "j", "x").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "x")), "legs")
-    least = both.groupBy("i").agg(F.min("x").alias("m"))
-    p = pairs.select("i", "j", "x").join(least, "i").join(least.select(F.col("i").alias("j"), F.col("m").alias("n")), "j")
-    p = materialize(p.select("i", "j", "x", (F.col("x") - F.col("m") - F.col("n")).alias("most")).where("most > 0"), "bounded")
+    both = pairs.select("i", "j", "x").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "x"))
+    shares = [2.0 ** (-k / 2) for k in range(28, 0, -1)]
+    facts = pairs.agg(F.max("x").alias("top"), F.count("*").alias("n"), F.percentile_approx("x", shares, 100_000).alias("t"), F.approx_count_distinct("i").alias("i"), F.approx_count_distinct("j").alias("j")).first()
 
     def triangles(some: DataFrame, legs: DataFrame) -> DataFrame:
         a = legs.select("i", F.col("j").alias("k"), F.col("x").alias("xa"))
@@ -231,11 +230,15 @@ def violated_triangles(pairs: DataFrame, limit: int) -> DataFrame:
         return t.select("i", "j", "k", (F.col("x") - F.col("xa") - F.col("xb")).alias("violation")).where("violation > 0")
 
     order = [F.desc("violation"), F.col("i"), F.col("j"), F.col("k")]
-    first = triangles(p.orderBy(F.desc("most"), "i", "j").limit(limit), both).orderBy(*order).limit(limit)
-    floor = first.agg(F.count("*").alias("n"), F.min("violation").alias("v")).first()
-    low = floor["v"] if floor["n"] == limit else 0
-    top = p.agg(F.max("x").alias("x")).first()["x"]
-    if top is None:
-        return first
-    t = triangles(p.where(F.col("most") >= low), both.where(F.col("x") <= top - low))
-    return t.where(F.col("violation") >= low).orderBy(*order).limit(limit)
+    if facts["n"]:
+        # the share of values at which as many triangles are to be expected if values are spread evenly; it only says where to begin
+        ends = max(facts["i"], facts["j"])
+        begin = (limit * 6 / 4) ** (1 / 3) * ends / facts["n"]
+        cuts = dict.fromkeys(t for f, t in zip(shares, facts["t"]) if f >= begin and 0 < t < facts["top"])
+        for t in cuts:
+            low = facts["top"] - t
+            got = triangles(pairs.where(F.col("x") > low), both.where(F.col("x") < t)).where(F.col("violation") > low)
+            got = materialize(got.orderBy(*order).limit(limit), "worst")
+            if got.count() == limit:
+                return got.orderBy(*order)
+    return triangles(pairs.select("i", "j", "x"), both).orderBy(*order).limit(limit)

@@ -8,7 +8,7 @@ import numpy as np
 
 from meshwright.functions import exact
 from meshwright.functions.grouping import connected
-from meshwright.operators import bank, criteria, iterative, meetings
+from meshwright.operators import bank, criteria, iterative, meetings, ordered
 from meshwright.operators.graph import Graph
 
 
@@ -79,6 +79,19 @@ def test_profile_penalties(spark):
     assert {(r["u"], r["v"]): (r["num"], r["den"]) for r in got} == want and len(got) == len(want)
 
 
+def test_worst_triangles_need_no_full_listing(spark):
+    """Only the legs that can reach the report are joined, and the report is the same."""
+    rng = random.Random(5)
+    x = {(i, j): float(rng.randint(0, 99)) for i, j in combinations(range(40), 2)}
+    at = lambda i, j: x[min(i, j), max(i, j)]
+    every = sorted((-(v - at(i, k) - at(j, k)), i, j, k) for (i, j), v in x.items() for k in range(40) if k not in (i, j) and v > at(i, k) + at(j, k))
+    pairs = spark.createDataFrame([(*k, v) for k, v in x.items()], "i long, j long, x double")
+    for limit in (20, 10**6):
+        got = [tuple(r) for r in ordered.violated_triangles(pairs, limit).collect()]
+        assert got == [(i, j, k, -v) for v, i, j, k in every[:limit]]
+    assert ordered.violated_triangles(pairs.where("false"), 5).isEmpty()
+
+
 def test_pairs_at_a_hub(spark):
     """Neighbours alike in degree and weight are one root, so a star's pairs have a few each."""
     edges = [(0, v, 1) for v in range(1, 61)] + [(v, v + 1, 2) for v in range(1, 31, 2)]
