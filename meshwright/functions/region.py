@@ -44,7 +44,7 @@ class Region:
     def read(cls, pdf: pd.DataFrame) -> Region:
         """From rows (u, v, w, du, dv); a vertex without edges has null v."""
         has = pdf["v"].notna().to_numpy()
-        e, alone = pdf[has], pdf[~has]
+        e, alone = pdf if has.all() else pdf[has], pdf[~has]
         cols = [e[c].to_numpy(dtype=np.int64) for c in ("u", "v", "w", "du", "dv")]
         return cls.build(*cols, alone["u"].to_numpy(dtype=np.int64), alone["du"].to_numpy(dtype=np.int64))
 

@@ -61,7 +61,8 @@ def per_region(rows: DataFrame, key: str, schema: str, kernel: Callable[[Region,
     kind = rows.select(key).schema[0].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = kernel(Region.read(pdf), pdf)
+        region, pdf = Region.read(pdf), pdf.iloc[:1].copy()  # the rows needn't stay beside the region
+        got = kernel(region, pdf)
         return pd.DataFrame([(pdf[key].iloc[0], *t) for t in got], columns=[key, *names])
 
     done = rows.groupBy(key).applyInPandas(run, f"{key} {kind}, {schema}")

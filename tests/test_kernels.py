@@ -1,6 +1,7 @@
 """Kernels against enumeration on small random graphs."""
 
 import random
+import tracemalloc
 from fractions import Fraction as Fr
 from itertools import combinations
 
@@ -375,3 +376,20 @@ def test_grouping():
     assert mean == 2.0 and lo <= 2.0 <= hi
     q = grouping.query_sample([[1, 2, 3], [4, 5], [6]], 2, 2, 7)
     assert len({c for c, _ in q}) == 2
+
+
+@pytest.mark.parametrize("certificate", [exact.contrast_certificate, exact.pairs_certificate])
+def test_certificates_spread_out_no_surroundings(certificate):
+    """A block of 200 with 20,000 outside neighbours takes what its edges take; members by neighbours were 32 MB and more."""
+    n, far = 200, 20_000
+    rng = np.random.default_rng(1)
+    ring = np.arange(n)
+    u = np.concatenate([ring, (ring + 1) % n, np.repeat(ring, 100)])
+    v = np.concatenate([(ring + 1) % n, ring, n + rng.permuted(np.tile(np.arange(far), (n, 1)), axis=1)[:, :100].ravel()])
+    degree = np.concatenate([np.full(n, 102), np.full(far, 3)])
+    block = Region.build(u, v, np.ones(len(u), np.int64), degree[u], degree[v])
+    tracemalloc.start()
+    status = certificate(block, int(degree.sum()), Fr(1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert status == "failed_exact_psd" and peak < 16e6
