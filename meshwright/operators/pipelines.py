@@ -53,7 +53,9 @@ def arm(g: Graph, blocks: DataFrame, name: str, cap: int = 64, progress: Callabl
     if name.endswith("D"):
         tried = blocks if name == "D" else images(blocks, member, cap)
         sized = tried.groupBy("block_id").agg(F.count_distinct("u").alias("n")).where(F.col("n").between(2, cap))
-        united = iterative.union_of_blocks(certified(now, tried.join(sized, "block_id", "left_semi")))
+        # read several times below, so the kernels' decisions are written first
+        sure = materialize(certified(now, tried.join(sized, "block_id", "left_semi")), "certified")
+        united = iterative.union_of_blocks(sure)
         united = materialize(united.select(F.col("u").alias("g"), F.col("g").alias("head")), "united")
         member = member.join(united, "g", "left").select("u", F.coalesce("head", "g").alias("g"))
     return materialize(member, "arm")
@@ -75,5 +77,7 @@ def arm_summary(g: Graph, blocks: DataFrame, labels: DataFrame, arms: tuple[str,
         mixed = m.join(labels, "u").groupBy("g").agg(F.count_distinct("l").alias("k")).agg(F.count_if(F.col("k") > 1).alias("mixed"))
         # each side is one row
         row = count.crossJoin(broken).crossJoin(mixed)
-        out.append(row.select(F.lit(name).alias("arm"), "vertices", "groups", (F.col("vertices") - F.col("groups")).alias("removed"), "broken", "mixed"))
+        row = row.select(F.lit(name).alias("arm"), "vertices", "groups", (F.col("vertices") - F.col("groups")).alias("removed"), "broken", "mixed")
+        # written arm by arm: one plan over all arms takes the driver's memory
+        out.append(materialize(row, "summary"))
     return reduce(DataFrame.unionByName, out)

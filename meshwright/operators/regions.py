@@ -7,13 +7,17 @@ are reported, not cut short. A retrieval's region grows where its diffusion does
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from meshwright.functions import diffuse, exact, grouping
 from meshwright.functions.compose import compose
@@ -41,31 +45,66 @@ def region_rows(g: Graph, members: DataFrame, key: str = "query_id") -> DataFram
 
 #: Edges that one task's kernel takes: some 500 MB while a region is read.
 LIMIT = 2_000_000
+#: Result rows that a task gathers before it hands them on.
+_ROWS = 10_000
 #: The status of a region too large for one task's kernel.
 _OVER = "region_limit"
 
 
-def per_region(rows: DataFrame, key: str, schema: str, kernel: Callable[[Region, pd.DataFrame], list[tuple]], extra: DataFrame | None = None, limit: int = LIMIT, instead: list[Column] | None = None) -> DataFrame:
+def per_region(rows: DataFrame, key: str, schema: str, kernel: Callable[[Region, pd.DataFrame | None], list[tuple]], extra: DataFrame | None = None, limit: int = LIMIT, instead: list[Column] | None = None) -> DataFrame:
     """``kernel`` run on each region; its tuples fill ``schema`` after the key.
 
     ``extra`` (key, ...) rides along, one row per region. A region of more than
     ``limit`` edges gives one row of ``instead`` (expressions over ``extra``, in the
-    order of ``schema``); without it none, and ``oversized`` has to be asked.
+    order of ``schema``); without it none, and ``oversized`` has to be asked. The
+    kernel is given its region's row of ``extra`` as a pandas table of one row, or None.
+    A task reads its regions one after another from sorted rows.
     """
-    names = [x.strip().split()[0] for x in schema.split(", ")]
     every = rows
     small = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") <= limit).select(key)
     rows = rows.join(small, key, "left_semi")
     if extra is not None:
         rows = rows.join(extra, key)
     kind = rows.select(key).schema[0].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        region, pdf = Region.read(pdf), pdf.iloc[:1].copy()  # the rows needn't stay beside the region
-        got = kernel(region, pdf)
-        return pd.DataFrame([(pdf[key].iloc[0], *t) for t in got], columns=[key, *names])
-
-    done = rows.groupBy(key).applyInPandas(run, f"{key} {kind}, {schema}")
+    shape = to_arrow_schema(StructType.fromDDL(f"{key} {kind}, {schema}"))
+    names, rides = shape.names[1:], extra is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []  # the region being read, which may go on in the next batch
+        own, first, out = None, None, []
+
+        def end() -> None:
+            u, v, w, du, dv, has = held[0] if len(held) == 1 else (np.concatenate(c) for c in zip(*held))
+            region = Region.build(u[has], v[has], w[has], du[has], dv[has], u[~has], du[~has])
+            held.clear()
+            out.extend((own, *t) for t in kernel(region, first))
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*out)) or [()] * len(shape)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type, from_pandas=True) for c, f in zip(cols, shape)], schema=shape)
+
+        for batch in batches:
+            cols = [pc.fill_null(batch.column(c), 0).to_numpy() for c in ("u", "v", "w", "du", "dv")]
+            cols.append(batch.column("v").is_valid().to_numpy(zero_copy_only=False))
+            keys, begin = batch.column(key), 0
+            for stop in pc.run_end_encode(keys).run_ends.to_pylist():
+                here = keys[begin].as_py()
+                if not held or here != own:
+                    if held:
+                        end()
+                    own, first = here, batch.slice(begin, 1).to_pandas() if rides else None
+                held.append(tuple(c[begin:stop] for c in cols))
+                begin = stop
+                if len(out) >= _ROWS:
+                    yield flush()
+        if held:
+            end()
+        yield flush()
+
+    # a stated number of tasks: small tables with slow kernels would else come to one
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    done = rows.repartition(parts, key).sortWithinPartitions(key).mapInArrow(run, f"{key} {kind}, {schema}")
     if instead is None:
         return done
     over = oversized(every, key, limit)

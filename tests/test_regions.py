@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from meshwright.operators import regions
+from meshwright.operators import pipelines, regions
 from meshwright.operators.graph import Graph, g_supp
 from meshwright.plans import more
 from meshwright.session import table
@@ -43,3 +43,34 @@ def test_candidate_forest_holds_every_supplier_of_a_nation(spark):
     got = more.candidate_forest(spark, SF).where("block = 0")
     s = table(spark, SF, "supplier").join(g_supp(spark, SF).degrees, F.col("u") == F.col("s_suppkey")).groupBy("s_nationkey").count().where("count > 1")
     assert {tuple(r) for r in got.groupBy("part").count().collect()} == {tuple(r) for r in s.collect()}
+
+
+def test_regions_over_several_batches(spark):
+    """A region's rows may lie in several batches, keys may be text or null, and extra columns ride along."""
+    rows = [(k, u, (u + 1) % n, 1, 2, 2) for k, n in (("a", 7), (None, 3), ("b", 5), ("", 4)) for u in range(n)] + [("b", 9, None, None, 0, None)]
+    frame = spark.createDataFrame(rows, "part string, u long, v long, w long, du long, dv long")
+    extra = spark.createDataFrame([("a", [[1], [2, 3]]), ("b", None)], "part string, bank array<array<long>>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = regions.per_region(frame.where("part IS NOT NULL"), "part", "n int, edges long, half double", lambda r, first: [(r.n, len(r.w), None)], None).collect()
+        assert {tuple(r) for r in got} == {("a", 7, 7, None), ("b", 6, 5, None), ("", 4, 4, None)}
+        got = regions.per_region(frame, "part", "n int, bank int", lambda r, first: [(r.n, None if first["bank"].iloc[0] is None else sum(map(len, first["bank"].iloc[0])))], extra).collect()
+        assert {tuple(r) for r in got} == {("a", 7, 3), ("b", 6, None)}
+        assert regions.per_region(frame.where("false"), "part", "n int", lambda r, first: [(r.n,)]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_an_arm_certifies_each_block_once(spark, monkeypatch):
+    n, merge = spark.sparkContext.accumulator(0), regions.CRITERIA["degree_copy"]
+
+    def counted(block, m):
+        n.add(1)
+        return merge(block, m)
+
+    monkeypatch.setitem(regions.CRITERIA, "degree_copy", counted)
+    g = Graph(spark.createDataFrame([(2 * k, 2 * k + 1, 5) for k in range(6)], "u long, v long, w long"))
+    blocks = spark.createDataFrame([(k, u) for k in range(6) for u in (2 * k, 2 * k + 1)], "block_id long, u long")
+    assert pipelines.arm(g, blocks, "D").select("g").distinct().count() == 6
+    assert n.value == 6
