@@ -6,7 +6,6 @@ number of rounds, and a lost executor costs one round at most.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from meshwright.operators.criteria import positive_closure, proportional_twins, singleton_dominance
 from meshwright.operators.graph import Graph
-from meshwright.operators.meetings import LINKS, ego_links, linked
+from meshwright.operators.meetings import ego_parts
 from meshwright.session import materialize
 
 
@@ -212,11 +211,14 @@ def label_cover(memory: DataFrame, share: Column | float) -> DataFrame:
 def ego_components(g: Graph) -> DataFrame:
     """(ego, u, c): the component of each neighbour in its ego's neighbourhood, named by its least vertex.
 
-    Edges of all ego networks are the triangles, found without a join of wedges; the
-    links of an ego are united by one task.
+    An ego's neighbours are united by one task, which finds the edges between them.
     """
-    parts = max(int(g.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * g.edges.count() / LINKS))
-    return linked(ego_links(g), parts)
+    return ego_parts(g)
+
+
+def persona_ids(g: Graph) -> DataFrame:
+    """(u, c, persona): each vertex split into one persona per ego component."""
+    return ego_parts(g, heads=True).select(F.col("ego").alias("u"), "c", _persona("ego", "c").alias("persona"))
 
 
 def _persona(u: str, c: str) -> Column:

@@ -625,7 +625,7 @@ def ego_components(spark, d):
 
 @query()
 def ego_personas(spark, d):
-    return iterative.personas(g_part(spark, d))[0]
+    return iterative.persona_ids(g_part(spark, d))
 
 
 @query()

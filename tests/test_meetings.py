@@ -1,15 +1,17 @@
 """Common neighbours, triangles and ego networks against enumeration."""
 
 import random
+from collections import Counter
 from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 
 from meshwright.functions import exact
 from meshwright.functions.grouping import connected
-from meshwright.operators import bank, criteria, iterative, meetings, ordered
-from meshwright.operators.graph import Graph
+from meshwright.operators import bank, criteria, graph, iterative, meetings, ordered
+from meshwright.operators.graph import Graph, co_occurrence
 
 
 def _graph(spark, seed, n=24, p=0.35):
@@ -106,3 +108,44 @@ def test_pairs_at_a_hub(spark):
     for r in got:
         share, margin = exact.pair_copy(rows, degree, sum(degree.values()), r["u"], r["v"], Fraction(1))
         assert abs(r["margin"] - float(margin)) < 1e-9 and abs(r["share"] - float(share)) < 1e-9
+
+
+def test_ego_parts_shuffle_no_links(spark, monkeypatch, tmp_path):
+    """Links between an ego's neighbours used to be shuffled; now a task finds and unites those of its egos."""
+    g, near = _graph(spark, 3, 22, 0.2)
+    plan = iterative.persona_ids(g)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    want = {(e, u): min(part) for e, r in near.items() for part in connected(near, set(r)) for u in part}
+    assert {(r["u"], r["c"]) for r in iterative.persona_ids(g).collect()} == {(e, c) for (e, _), c in want.items()}
+    for limit, step in (("WEDGES", 7), ("LINKS", 3)):
+        monkeypatch.setattr(meetings, limit, step)
+    files, got = g.edge_files(), {}
+    for k in range(3):
+        for e, u, c in zip(*(x.tolist() for x in meetings._ego_parts(files, k, 3))):
+            assert (e, u) not in got
+            got[e, u] = c
+    assert got == want
+
+
+def test_places_of_sparse_and_dense_ids():
+    for ids in ([3, 4, 9], [-5, 10**15, 10**16]):
+        assert meetings._Places(np.array(ids))(np.array([ids[2], ids[0], 5, -(10**17), 10**17, ids[1]])).tolist() == [2, 0, -1, -1, -1, 1]
+    assert meetings._Places(np.zeros(0, np.int64))(np.array([1])).tolist() == [-1]
+
+
+def test_pairs_of_groups_over_several_batches(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(g, rng.randint(0, 9)) for g in ("a", "b", "c", "d", "") for _ in range(rng.randint(1, 12))] + [("h", u) for u in range(40)] + [(None, 1), (None, 2), ("a", None)]
+    sets = {}
+    for g, u in rows:
+        if g is not None and u is not None:
+            sets.setdefault(g, set()).add(u)
+    want = Counter(c for s in sets.values() for c in combinations(sorted(s), 2))
+    g = co_occurrence(spark.createDataFrame(rows, "g string, u int"), "g", "u")
+    assert {(r["u"], r["v"]): r["w"] for r in g.edges.collect()} == want
+    monkeypatch.setattr(graph, "_PAIRS", 3)
+    clean = sorted((g, u) for g, u in rows if g is not None and u is not None)
+    for size in (1, 2, 3, 7, 100):
+        batches = [pa.RecordBatch.from_pylist([{"g": g, "u": u} for g, u in clean[k : k + size]], pa.schema([("g", pa.string()), ("u", pa.int64())])) for k in range(0, len(clean), size)]
+        got = Counter(p for b in graph._pairs_by_group(iter(batches)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        assert got == want
