@@ -15,12 +15,12 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Collection, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwright.session import materialize
@@ -29,8 +29,10 @@ _POWERS = np.array([pow(0x9E3779B1, k + 1, 1 << 32) for k in range(32)], dtype=n
 
 #: Hash space of the features.
 BITS = 18
-#: Bounds of the training sample: confirmed documents, unlabelled documents, and bytes of text of either.
+#: Bounds of a sample to look at: confirmed documents, unlabelled documents, and bytes of text of either.
 MAX_REVIEWED, MAX_UNLABELLED, MAX_BYTES = 4000, 4000, 48_000_000
+#: What one task fits a model to, on average: confirmed texts, unlabelled texts, and bytes of text of either.
+SHARE_REVIEWED, SHARE_UNLABELLED, SHARE_BYTES = 1000, 8000, 48_000_000
 
 # Letters of other scripts and signs that stand for a Latin letter.
 _LOOKALIKES = str.maketrans(
@@ -189,8 +191,8 @@ def features(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Weights of the features, a bias, the class prior it was trained with, and held-out document scores.
 
-    ``confirmed`` and ``others`` are the scores of the training sample's confirmed and
-    unlabelled documents by models that haven't seen them.
+    ``confirmed`` and ``others`` are the scores of the confirmed and unlabelled documents
+    it was trained with, by models that haven't seen them.
     """
 
     weights: np.ndarray
@@ -294,22 +296,27 @@ def threshold(p: np.ndarray, u: np.ndarray, counts: np.ndarray) -> float:
     lowest is taken, at most 1 below and 2 above the classifier's own boundary at 0.
     Without confirmed documents nothing is above it.
     """
-    if not len(p) or not len(u) or not counts.sum():
+    return counted_threshold(p, u if len(p) == 0 else np.array([(u <= np.median(p)).sum(), (u > np.median(p)).sum()]), counts)
+
+
+def counted_threshold(p: np.ndarray, halves: np.ndarray, counts: np.ndarray) -> float:
+    """``threshold`` where ``halves`` says how many unlabelled documents score up to the median of ``p`` and above."""
+    if not len(p) or not halves.sum() or not counts.sum():
         return math.inf
     p = np.sort(p)
     over = 1 - np.cumsum(counts) / counts.sum()  # above the right edge of a cell
     at = _GRID[1:]
     hit = 1 - np.searchsorted(p, at, side="right") / len(p)
-    base = max(float((u > np.median(p)).mean()) / 0.5, 1 / len(u))
+    base = max(float(halves[1] / halves.sum()) / 0.5, 1 / float(halves.sum()))
     gain = hit / (base + over)
     use = (at <= max(np.median(p), -1.0)) & (at >= -1.0) & (at <= 2.0)
     return float(at[use & (gain >= gain[use].max() * 0.98)].min())
 
 
-def cells(scores: np.ndarray) -> np.ndarray:
-    """How many scores lie in each cell of the grid; those beyond it count in the outermost."""
+def cells(scores: np.ndarray, copies: np.ndarray | None = None) -> np.ndarray:
+    """How many scores lie in each cell of the grid, each as often as it has copies; those beyond it count in the outermost."""
     at = np.clip(np.searchsorted(_GRID, scores, side="left") - 1, 0, len(_GRID) - 2)
-    return np.bincount(at, minlength=len(_GRID) - 1)
+    return np.bincount(at, weights=copies, minlength=len(_GRID) - 1).astype(np.int64)
 
 
 def fit(positive: list[str], unlabelled: list[str], turns: int = 4, prior: float = 0.002) -> Model:
@@ -323,8 +330,11 @@ def fit(positive: list[str], unlabelled: list[str], turns: int = 4, prior: float
     anew from the held-out scores of both. The last model is trained on all. Without
     positives the model finds nothing.
     """
-    bags = [b for b in (passages(t) for t in dict.fromkeys(positive)) if b]
-    docs = [b for b in (passages(t) for t in dict.fromkeys(unlabelled)) if b]
+    return fit_passages([b for b in (passages(t) for t in dict.fromkeys(positive)) if b], [b for b in (passages(t) for t in dict.fromkeys(unlabelled)) if b], turns, prior)
+
+
+def fit_passages(bags: list[list[str]], docs: list[list[str]], turns: int = 4, prior: float = 0.002) -> Model:
+    """``fit`` for the passages of distinct confirmed and unlabelled texts, none of them empty."""
     if len(bags) < 2 or len(docs) < 2:
         return Model(np.zeros(1 << BITS), 0.0, prior, np.zeros(0), np.zeros(0))
     half_p, half_u = np.arange(len(bags)) % 2, np.arange(len(docs)) % 2
@@ -382,7 +392,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, reviewed: int = MAX_REVI
     Confirmed are documents all of whose reviews name a kind of content; reviews of
     null documents or categories don't count. A sample takes whole texts in the order
     of the hash while they fit into ``most`` bytes; one of more than a tenth of that is
-    passed over. The bounds hold for the fit alone: every document is scored.
+    passed over. For looking at texts: no model, count or threshold comes from it.
     """
     says = labels.where(F.col("doc_id").isNotNull() & F.col("category").isNotNull())
     confirmed = says.groupBy("doc_id").agg(F.every(F.col("category") != "none").alias("yes"))
@@ -401,20 +411,99 @@ def training_sample(docs: DataFrame, labels: DataFrame, reviewed: int = MAX_REVI
     return known, take(texts.join(confirmed, "doc_id", "left_anti"), 2, unlabelled)
 
 
-_SCORED = "doc_id string, source string, score double, passage string, sampled boolean"
+def reviews(labels: DataFrame) -> DataFrame:
+    """(doc_id, yes) of reviewed documents: whether all reviews name a kind of content; those of null documents or categories don't count."""
+    says = labels.where(F.col("doc_id").isNotNull() & F.col("category").isNotNull())
+    return says.groupBy("doc_id").agg(F.every(F.col("category") != "none").alias("yes"))
+
+
+def training_shares(docs: DataFrame, labels: DataFrame, reviewed: int = SHARE_REVIEWED, unlabelled: int = SHARE_UNLABELLED, most: int = SHARE_BYTES) -> tuple[DataFrame, int]:
+    """(share, confirmed, text, n), and the number of shares: every distinct text of a confirmed or an unreviewed document with its number of copies, by hash in shares that a task can fit.
+
+    No text is left out. An unlabelled text is in one share, a confirmed one in as many as
+    its group of about ``reviewed`` meets; there are at least as many shares as groups.
+    """
+    says = reviews(labels)
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
+
+    def once(df: DataFrame, name: str) -> DataFrame:
+        return materialize(df.groupBy("text").agg(F.count("*").alias("n")), name)
+
+    known, others = once(texts.join(says.where("yes"), "doc_id", "left_semi"), "confirmed"), once(texts.join(says, "doc_id", "left_anti"), "unlabelled")
+    size = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("b")).first()
+    k, u = size(known), size(others)
+    groups = max(1, math.ceil(k["n"] / reviewed), math.ceil(k["b"] / most))
+    shares = max(groups, math.ceil(u["n"] / unlabelled), math.ceil(u["b"] / most))
+    at = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(n)).cast("int")
+    every = F.explode(F.sequence(at(1, groups), F.lit(shares - 1), F.lit(groups)))
+    confirmed = known.select(every.alias("share"), F.lit(True).alias("confirmed"), "text", "n")
+    return confirmed.unionByName(others.select(at(2, shares).alias("share"), F.lit(False).alias("confirmed"), "text", "n")), shares
+
+
+_FITTED = "share int, weights binary, bias double, prior double, confirmed array<struct<h: bigint, score: double, n: bigint>>, once array<bigint>, copies array<bigint>"
+
+
+def _fit_share(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row of ``_FITTED``, or none for a share without two texts of either kind."""
+    pdf = pdf.sort_values(["h", "text"], kind="stable")
+    bags, h, n = [passages(t) for t in pdf["text"]], pdf["h"].tolist(), pdf["n"].tolist()
+    is_p = pdf["confirmed"].tolist()
+    p, u = ([i for i, b in enumerate(bags) if b and is_p[i] == kind] for kind in (True, False))
+    names = ["share", "weights", "bias", "prior", "confirmed", "once", "copies"]
+    m = fit_passages([bags[i] for i in p], [bags[i] for i in u])
+    if not len(m.confirmed):
+        return pd.DataFrame(columns=names)
+    held = [{"h": h[i], "score": float(x), "n": n[i]} for i, x in zip(p, m.confirmed)]
+    copies = cells(m.others, np.array([n[i] for i in u]))
+    row = (int(pdf["share"].iloc[0]), m.weights.tobytes(), m.bias, m.prior, held, cells(m.others).tolist(), copies.tolist())
+    return pd.DataFrame([row], columns=names)
+
+
+def fit_shares(texts: DataFrame, shares: int) -> tuple[Model, np.ndarray, np.ndarray]:
+    """The mean of the models fitted to each of ``training_shares``, and the unlabelled texts and all documents by cell of their held-out scores.
+
+    A confirmed text's held-out score is its mean over the shares that it is in. Only
+    counts by cell of the grid and one model at a time come to the driver.
+    """
+    # more tasks than shares, so that few have two
+    rows = texts.withColumn("h", F.xxhash64("text")).repartition(4 * shares, "share").groupBy("share").applyInPandas(_fit_share, _FITTED)
+    fitted = materialize(rows, "models")
+    total, bias, prior, n = np.zeros(1 << BITS), 0.0, 0.0, 0
+    once, copies = np.zeros(len(_GRID) - 1, dtype=np.int64), np.zeros(len(_GRID) - 1, dtype=np.int64)
+    for r in fitted.select("weights", "bias", "prior", "once", "copies").toLocalIterator():
+        total += np.frombuffer(r["weights"], dtype=np.float32)
+        bias, prior, n = bias + r["bias"], prior + r["prior"], n + 1
+        once, copies = once + np.array(r["once"]), copies + np.array(r["copies"])
+    if not n:
+        return Model(total, 0.0, 0.002, np.zeros(0), np.zeros(0)), once, copies
+    held = fitted.select(F.inline("confirmed")).groupBy("h").agg(F.avg("score").alias("score"), F.max("n").alias("n"))
+    middle = (_GRID[1:] + _GRID[:-1]) / 2
+    p = []
+    # at most as many rows as the grid has cells
+    for r in held.groupBy(_cell().alias("cell")).agg(F.count("*").alias("texts"), F.sum("n").alias("n")).orderBy("cell").collect():
+        p.append(np.full(r["texts"], middle[r["cell"]]))
+        copies[r["cell"]] += r["n"]
+    return Model((total / n).astype(np.float32), bias / n, prior / n, np.concatenate(p), np.zeros(0)), once, copies
+
+
+def _cell() -> Column:
+    """The cell of the grid that a score lies in; see ``cells``."""
+    return F.greatest(F.least(F.ceil((F.col("score") - float(_GRID[0])) * 100) - 1, F.lit(len(_GRID) - 2)), F.lit(0)).cast("int")
+
+
+_SCORED = "doc_id string, source string, score double, passage string"
 
 
-def score(docs: DataFrame, model: Model, sample: Collection[str] = ()) -> DataFrame:
-    """(doc_id, source, score, passage, sampled) of every document's whole text.
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, source, score, passage) of every document's whole text.
 
     ``passage`` is the normal form of the worst passage; null and blank texts have
-    score -99 and no passage. ``sampled`` says whether doc_id is in ``sample``, at most
-    as many ids as the training sample has. One pass, no shuffle; the model is a fixed 1 MB.
+    score -99 and no passage. One pass, no shuffle; the model is a fixed 1 MB.
     """
-    held = docs.sparkSession.sparkContext.broadcast((model, frozenset(sample)))
+    held = docs.sparkSession.sparkContext.broadcast(Model(model.weights, model.bias, model.prior, np.zeros(0), np.zeros(0)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, known = held.value
+        m = held.value
         for pdf in batches:
             forms, owners = [], []
             for i, text in enumerate(pdf["text"]):
@@ -435,7 +524,7 @@ def score(docs: DataFrame, model: Model, sample: Collection[str] = ()) -> DataFr
                 better = s[last] > best[own[last]]
                 best[own[last[better]]], which[own[last[better]]] = s[last[better]], last[better] + k
             rows = [forms[w] if w >= 0 else "" for w in which]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "score": best, "passage": rows, "sampled": [x in known for x in pdf["doc_id"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "score": best, "passage": rows})
 
     # ids travel as text: a null among them would turn a batch's ids into floats
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "text")
@@ -443,20 +532,22 @@ def score(docs: DataFrame, model: Model, sample: Collection[str] = ()) -> DataFr
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, source, score, passage, found) of every document, by a model fitted to the reviews; see ``score``.
+    """(doc_id, source, score, passage, found) of every document, by a model fitted to all reviews and all other documents; see ``score``.
 
-    The threshold comes from the counted scores of all documents; those of the
-    training sample count with their held-out scores.
+    The threshold comes from the counted scores of all documents; those that the model
+    was fitted to count with their held-out scores.
     """
-    known, others = training_sample(docs, labels)
-    model = fit(list(known.values()), list(others.values()))
-    rows = materialize(score(docs, model, [*known, *others]), "scores")
-    cell = F.greatest(F.least(F.ceil((F.col("score") - float(_GRID[0])) * 100) - 1, F.lit(len(_GRID) - 2)), F.lit(0)).cast("int")
-    counts = cells(np.concatenate([model.confirmed, model.others]))
+    model, once, counts = fit_shares(*training_shares(docs, labels))
+    rows = materialize(score(docs, model), "scores")
+    rest = rows.join(reviews(labels).where("NOT yes"), "doc_id", "left_semi")
     # at most as many rows as the grid has cells
-    for r in rows.where(~F.col("sampled") & (F.col("score") > -99)).groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect():
+    for r in rest.where(F.col("score") > -99).groupBy(_cell().alias("cell")).agg(F.count("*").alias("n")).collect():
         counts[r["cell"]] += r["n"]
-    return rows.select("doc_id", "source", "score", "passage", (F.col("score") > threshold(model.confirmed, model.others, counts)).alias("found"))
+    limit = math.inf
+    if len(model.confirmed):
+        above = int(once[_GRID[1:] > np.median(model.confirmed)].sum())
+        limit = counted_threshold(model.confirmed, np.array([once.sum() - above, above]), counts)
+    return rows.select("doc_id", "source", "score", "passage", (F.col("score") > limit).alias("found"))
 
 
 def source_rates(scores: DataFrame) -> DataFrame:

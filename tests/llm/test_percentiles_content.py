@@ -176,3 +176,29 @@ def test_sample_is_bounded_in_bytes(spark):
     lab = spark.createDataFrame([(i, "abuse") for i in range(20)], "doc_id long, category string")
     known, others = content.training_sample(docs, lab, most=1000)
     assert len(known) == len(others) == 10 and "0" not in known
+
+
+def test_every_document_takes_part_in_the_fit(spark):
+    """Shares hold each distinct text, also long ones; a fit to a bounded sample used to leave texts out."""
+    docs = spark.createDataFrame([(i, "x" * (100 + i) if i else "y" * 5000) for i in range(50)] + [(100 + i, "a copy") for i in range(9)] + [(None, "no id"), (200, None)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, "abuse") for i in range(20)] + [(49, "none"), (48, "abuse"), (48, "none")], "doc_id long, category string")
+    rows, n = content.training_shares(docs, lab, reviewed=5, unlabelled=4, most=10**6)
+    got = rows.collect()
+    assert n == 8 and {r["share"] for r in got} <= set(range(n))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert {r["text"] for r in got if r["confirmed"]} == {text[i] for i in range(20)}
+    others = [(r["text"], r["n"]) for r in got if not r["confirmed"]]
+    assert sorted(others) == sorted([(text[i], 1) for i in range(20, 48)] + [("a copy", 9), ("no id", 1)])
+
+
+def test_mean_of_models_of_shares(spark, monkeypatch):
+    """Fitted in several shares, the mean of the models finds held-out cases."""
+    monkeypatch.setattr(content, "training_shares", lambda d, x, f=content.training_shares: f(d, x, 80, 300))
+    train, test = corpus(7, 1500, 0.12), corpus(8, 800, 0.06)
+    docs = spark.createDataFrame([(i, t, "s") for i, (t, _) in enumerate(train + test)], "doc_id long, text string, source string")
+    lab = spark.createDataFrame([(i, "abuse" if y else "none") for i, (_, y) in enumerate(train[:900])], "doc_id long, category string")
+    assert content.training_shares(docs, lab)[1] >= 4
+    found = {r["doc_id"] for r in content.scored(docs, lab).where("found").collect()}
+    truth = {len(train) + i for i, (_, y) in enumerate(test) if y}
+    said = {i for i in found if i >= len(train)}
+    assert 2 * len(said & truth) / (len(said) + len(truth)) > 0.9
