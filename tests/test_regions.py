@@ -1,8 +1,14 @@
 """Regions too large for one task."""
 
+import random
+from itertools import combinations
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from meshwright.operators import pipelines, regions
+from meshwright.functions.region import Region
+from meshwright.operators import pipelines, regions, screens
 from meshwright.operators.graph import Graph, g_supp
 from meshwright.plans import more
 from meshwright.session import table
@@ -74,3 +80,49 @@ def test_an_arm_certifies_each_block_once(spark, monkeypatch):
     blocks = spark.createDataFrame([(k, u) for k in range(6) for u in (2 * k, 2 * k + 1)], "block_id long, u long")
     assert pipelines.arm(g, blocks, "D").select("g").distinct().count() == 6
     assert n.value == 6
+
+
+def _large_block(spark):
+    """A graph of two pairs with 1.1 M neighbours in common each, one pair bound closely, and the pairs as regions."""
+    n, heavy = 1_100_000, 3_000_000
+    pairs = [(0, 1, heavy), (2, 3, 1)]
+    leaves = spark.range(10, 10 + n).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("u"), F.col("id").alias("v"), F.lit(1).cast("long").alias("w"))
+    g = Graph(leaves.unionByName(spark.createDataFrame(pairs, "u long, v long, w long")))
+    m, found = 2 * (4 * n + heavy + 1), {}
+    for a, b, w in pairs:
+        end = np.repeat(np.array([a, b]), n)
+        du = n + w
+        found[a] = Region.build(np.concatenate([end, [a, b]]), np.concatenate([np.tile(np.arange(10, 10 + n), 2), [b, a]]), np.concatenate([np.ones(2 * n, np.int64), [w, w]]), np.full(2 * n + 2, du), np.concatenate([np.full(2 * n, 4), [du, du]]))
+    return g, spark.createDataFrame([(k - k % 2, k) for k in range(4)], "block_id long, u long"), m, found
+
+
+def test_a_block_of_over_two_million_edges_is_judged(spark):
+    """It used to have no verdict but ``size_limit``."""
+    g, blocks, m, found = _large_block(spark)
+    methods = regions.MAIN_CRITERIA
+    got = {(r["block_id"], r["method"]): (r["size"], r["status"]) for r in regions.block_panel(g, blocks).collect()}
+    assert got == {(a, k): (2, regions.CRITERIA[k](r, m)) for a, r in found.items() for k in methods}
+    assert len({status for _, status in got.values()}) > 4
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("methods", [regions.MAIN_CRITERIA])
+def test_sums_and_kernels_agree_on_large_blocks(spark, seed, methods):
+    rng, edges = random.Random(seed), {}
+    for u, v in combinations(range(40), 2):
+        close = u // 5 == v // 5
+        if rng.random() < (0.95 if close else 0.06):
+            edges[u, v] = rng.choice([20, 40, 80]) if close and u < 20 else rng.randint(1, 4)
+    if seed:  # a clique alone, and twins
+        edges |= {(u, v): 7 for u, v in combinations(range(50, 54), 2)} | {(u, v): 1 for u in (60, 61) for v in (62, 63)} | {(60, 61): 9}
+    vertices = spark.createDataFrame([(u,) for u in range(70)], "u long")
+    g = Graph(spark.createDataFrame([(u, v, w) for (u, v), w in edges.items()], "u long, v long, w long"), vertices)
+    of = {k: range(5 * k, 5 * k + 5) for k in range(8)} | {k: sorted(rng.sample(range(40), rng.randint(2, 12))) for k in range(10, 18)} | {20: (50, 51, 52, 53), 21: (60, 61), 22: (0, 69), 23: (64, 65), 24: (50, 51, 52)}
+    blocks = spark.createDataFrame([(k, u) for k, b in of.items() for u in b], "block_id int, u long")
+    want = {(r["block_id"], r["method"]): (r["size"], r["status"]) for r in regions.block_panel(g, blocks, methods).collect()}
+    assert len(want) == len(of) * len(methods) and not any(status == "size_limit" for _, status in want.values())
+    assert {(r["block_id"], r["method"]): (r["size"], r["status"]) for r in regions.block_panel(g, blocks, methods, large=3).collect()} == want
+    sums = [(r["block_id"], r["method"], (r["size"], r["status"])) for r in screens.verdicts(g, regions.region_rows(g, blocks, "block_id"), blocks, methods).where("status IS NOT NULL").collect()]
+    assert all(want[k, method] == x for k, method, x in sums)
+    for k in methods:  # every criterion is decided by sums on most blocks that fail it
+        assert sum(method == k for _, method, _ in sums) > 8
