@@ -71,8 +71,7 @@ def _copies(m: int, centre: str) -> tuple[Column, Column]:
     """(value, magnitude) of the form of copies around a centre at vol e_u - d_u times the ones, for each member u."""
     vol, d = F.col("vol"), F.col("d")
     if centre == "zero":
-        near, every = F.lit(0.0), F.lit(0.0)
-        shared = F.lit(0.0)
+        near = every = shared = F.lit(0.0)
     else:
         near, every, shared = F.col(f"s_{centre}"), F.col(f"all_c_{centre}"), F.col(f"all_ds_{centre}")
 
@@ -107,7 +106,10 @@ def _pairs(m: int) -> tuple[Column, Column]:
 #: Criteria that a negative value at one member refutes: m -> (value, magnitude), and whether members without edges exclude a block.
 _FORMS: dict[str, tuple[Callable[[int], tuple[Column, Column]], bool]] = {
     "degree_copy": (lambda m: _copies(m, "median"), True),
+    "zero_copy": (lambda m: _copies(m, "zero"), True),
+    "anchor_copy": (lambda m: _copies(m, "anchor"), True),
     "uniform_copy": (_contrast, False),
+    "full_pairs": (_pairs, True),
 }
 
 

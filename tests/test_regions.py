@@ -106,7 +106,7 @@ def test_a_block_of_over_two_million_edges_is_judged(spark):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("methods", [regions.MAIN_CRITERIA])
+@pytest.mark.parametrize("methods", [regions.MAIN_CRITERIA, ["zero_copy", "anchor_copy", "full_pairs"]])
 def test_sums_and_kernels_agree_on_large_blocks(spark, seed, methods):
     rng, edges = random.Random(seed), {}
     for u, v in combinations(range(40), 2):
