@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -25,7 +25,7 @@ from meshwright.functions import diffuse, exact, grouping
 from meshwright.functions.compose import compose
 from meshwright.functions.cuts import quality, refine, regional_bound
 from meshwright.functions.region import Region
-from meshwright.operators import screens
+from meshwright.operators import iterative, screens
 from meshwright.operators.graph import Graph
 from meshwright.session import materialize
 
@@ -112,7 +112,8 @@ def per_region(rows: DataFrame, key: str, schema: str, kernel: Callable[[Region,
 
     # a stated number of tasks: small tables with slow kernels would else come to one
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    done = rows.repartition(parts, key).sortWithinPartitions(key).mapInArrow(run, f"{key} {kind}, {schema}")
+    # by the hash of the key: Spark would leave out a shuffle by the key itself after a join, and read that join locally later
+    done = rows.repartition(parts, F.xxhash64(key)).sortWithinPartitions(key).mapInArrow(run, f"{key} {kind}, {schema}")
     if instead is None or limit is None:
         return done
     over = oversized(every, key, limit)
@@ -374,18 +375,47 @@ def groupings(g: Graph, parts: DataFrame, seed: int = 0, limit: int = LIMIT) ->
     return per_region(_induced(g, parts), "part", "u long, l long", kernel, None, limit, [F.lit(None), F.lit(None)])
 
 
-def forests(g: Graph, parts: DataFrame, limit: int = LIMIT) -> DataFrame:
+_FOREST = "block int, u long"
+
+
+def forests(g: Graph, parts: DataFrame, limit: int | None = None, large: int = LIMIT) -> DataFrame:
     """(part, block, u): bisection forests of the subgraphs induced by disjoint parts (part, u), scaled by whole degrees.
 
-    Blocks are numbered in the order of the forest. A part of more than ``limit``
-    inner edges gives one row of null block and u.
+    Blocks are numbered in the order of the forest. A part of more than ``large`` inner
+    edges is taken apart into its connected parts first, each of which is one task's.
+    Only where a ``limit`` is given, a part of more inner edges gives one row of null
+    block and u.
     """
 
-    def kernel(region: Region, pdf: pd.DataFrame) -> list[tuple]:
-        rows, degree = region.as_rows()
-        return [(i, u) for i, b in enumerate(grouping.forest(rows, degree, [sorted(rows)])) for u in b]
+    def kernel(region: Region, pdf: pd.DataFrame | None) -> list[tuple]:
+        return [(i, u) for i, b in enumerate(grouping.region_forest(region)) for u in b.tolist()]
 
-    return per_region(_induced(g, parts), "part", "block int, u long", kernel, None, limit, [F.lit(None), F.lit(None)])
+    if limit is not None:
+        return per_region(_induced(g, parts), "part", _FOREST, kernel, None, limit, [F.lit(None), F.lit(None)])
+    parts = parts.where("part IS NOT NULL")
+    maybe = materialize(_edge_counts(g, parts, "part").where(F.col("edges") > large).select("part"), "heavy")
+    if maybe.isEmpty():
+        return per_region(_induced(g, parts), "part", _FOREST, kernel, None, None)
+    done = per_region(_induced(g, parts.join(maybe, "part", "left_anti")), "part", _FOREST, kernel, None, None)
+    rows = materialize(_induced(g, parts.join(maybe, "part", "left_semi")), "induced")
+    heavy = materialize(oversized(rows, "part", large).select("part"), "heavy")
+    done = done.unionByName(per_region(rows.join(heavy, "part", "left_anti"), "part", _FOREST, kernel, None, None))
+    if heavy.isEmpty():
+        return done
+    rows = rows.join(heavy, "part", "left_semi").where("du > 0")
+    member = rows.where("v IS NULL").select("part", "u")
+    split = iterative.components(rows.where("u < v").select("u", "v"), member.select("u"))
+    member = materialize(member.join(split, "u"), "components")
+    # a part in several pieces is a block itself, and is split only if it has four vertices
+    shape = member.groupBy("part").agg(F.count_distinct("c").alias("pieces"), F.count("*").alias("n")).where("n > 1")
+    whole = member.join(shape.where("pieces > 1"), "part", "left_semi").select("part", F.lit(0).alias("block"), "u")
+    own = member.join(shape.where("pieces = 1 OR n > 3"), "part", "left_semi").select("u", "c")
+    trees = materialize(per_region(rows.drop("part").join(own, "u"), "c", _FOREST, kernel, None, None), "trees")
+    # blocks of a piece follow those of the pieces before it
+    count = trees.groupBy("c").agg((F.max("block") + 1).alias("k")).join(member.where("u = c").select("part", "c"), "c").join(shape, "part")
+    before = F.coalesce(F.sum("k").over(Window.partitionBy("part").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = count.select("part", "c", (before + F.when(F.col("pieces") > 1, 1).otherwise(0)).cast("int").alias("first"))
+    return done.unionByName(whole).unionByName(trees.join(first, "c").select("part", (F.col("block") + F.col("first")).alias("block"), "u"))
 
 
 def bootstrap(values: DataFrame, panel: str, group: str, value: str, replicates: int = 2000, seed: int = 20261005) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from meshwright.functions import grouping
 from meshwright.functions.region import Region
 from meshwright.operators import pipelines, regions, screens
 from meshwright.operators.graph import Graph, g_supp
@@ -126,3 +127,43 @@ def test_sums_and_kernels_agree_on_large_blocks(spark, seed, methods):
     assert all(want[k, method] == x for k, method, x in sums)
     for k in methods:  # every criterion is decided by sums on most blocks that fail it
         assert sum(method == k for _, method, _ in sums) > 8
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_large_parts_have_their_whole_forests(spark, seed):
+    """Parts of more edges than one task takes used to give a null row."""
+    rng = random.Random(seed)
+    edges = {(u, v): rng.randint(1, 5) for u, v in combinations(range(60), 2) if rng.random() < (0.5 if u // 12 == v // 12 else 0.01 * seed)}
+    edges |= {(60, 61): 1, (62, 63): 2, (63, 64): 1, (65, 66): 1, (66, 67): 1, (67, 68): 2, (69, 0): 1}
+    g = Graph(spark.createDataFrame([(u, v, w) for (u, v), w in edges.items()], "u long, v long, w long"), spark.range(72).withColumnRenamed("id", "u"))
+    degree = {r["u"]: r["d"] for r in g.degrees.collect()}
+    of = {"a": range(30), "b": [*range(30, 60), 69, 70], "c": (60, 61, 62), "d": (63, 64), "e": (65, 66, 67, 68), "f": (71,)}
+    parts = spark.createDataFrame([(k, u) for k, b in of.items() for u in b], "part string, u long")
+    want = set()
+    for k, b in of.items():
+        rows = {u: {} for u in b}
+        for (u, v), w in edges.items():
+            if u in rows and v in rows:
+                rows[u][v] = rows[v][u] = w
+        want |= {(k, i, u) for i, block in enumerate(grouping.forest(rows, degree, [sorted(rows)])) for u in block}
+    assert {tuple(r) for r in regions.forests(g, parts).collect()} == want
+    for large in (0, 20):
+        got = [tuple(r) for r in regions.forests(g, parts, large=large).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_a_region_is_read_whole_after_joins_by_its_key(spark):
+    """Spark leaves a shuffle by the key out after such joins, and then reads them locally: regions came in pieces."""
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = [spark.conf.get(k, None) for k in names]
+    for k, x in names.items():
+        spark.conf.set(k, x)
+    try:
+        rows = spark.range(400).select((F.col("id") % 20).alias("part"), F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(1).cast("long").alias("w"), F.lit(2).cast("long").alias("du"), F.lit(2).cast("long").alias("dv"))
+        some = spark.range(20).select(F.col("id").alias("part"))
+        every = rows.join(some, "part", "left_semi")
+        got = [tuple(r) for r in regions.per_region(every, "part", "n int, edges int", lambda r, _: [(r.n, len(r.w))], None, None).collect()]
+        assert sorted(got) == [(k, 20, 20) for k in range(20)]
+    finally:
+        for k, x in zip(names, before):
+            spark.conf.unset(k) if x is None else spark.conf.set(k, x)
